@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -42,7 +43,11 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

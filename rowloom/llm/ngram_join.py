@@ -154,11 +154,12 @@ def _linker(num: int, den: int):
     return hub, block
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10, slack: float = 0.5) -> DataFrame:
     """Documents whose k-word shingle sets have Jaccard >= num/den, as components.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself
-    included), n_links (other documents linked directly). Sets are compared by 64-bit shingle codes.
+    included), n_links (other documents linked directly). Sets are compared by 64-bit shingle codes. ``slack`` (l as
+    a share of the plain prefix length) trades sample size against the strength of step 2; it never changes the result.
 
     1. Equal sets form a class; only one set per class goes on.
     2. Global order 1 (by code): of a set of n codes the first n - ceil(t n) + l hold at least min(l_a, l_b) codes in
@@ -177,7 +178,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def sample(n: int) -> int:
         p = n + 1 + (-num * n // den)
-        return min(n, p - 1 + max(1, p // 2))
+        return min(n, p - 1 + max(1, int(p * slack)))
 
     def sets(batch, with_grams: bool):
         codes = WordCodes()
@@ -194,7 +195,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # l(ceil(t n)): the least number of sampled codes shared with any partner
     need = F.expr(f"CAST(-floor(-{num} * n / {den}D) AS BIGINT)")
     p_of = lambda x: x + 1 - F.floor((x * num + (den - 1)) / F.lit(den)).cast("long")
-    least = F.greatest(F.lit(1).cast("long"), F.floor(p_of(need) / F.lit(2)).cast("long"))
+    least = F.greatest(F.lit(1).cast("long"), F.floor(p_of(need) * F.lit(slack)).cast("long"))
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"))
 
     def shared(held: DataFrame) -> DataFrame:

@@ -1,14 +1,20 @@
 """The corpus operators' queries, and DuckDB SQL for those that SQL can express."""
 
-from . import ngram_join, reshard, topk, url_rules
+from . import decontaminate, language, ngram_join, packing, pii, reshard, secret_scan, substring_dedup, topk, url_rules
 
 QUERIES = {
     f.__name__: f
     for f in (
         ngram_join.op1_ngram_jaccard_join,
         reshard.op2_min_cost_reshard,
+        decontaminate.op3_simhash_decontamination,
         topk.op4_exact_top_k,
+        substring_dedup.op5_fm_index_dedup,
+        packing.op6_bin_completion_packing,
+        pii.op7_boosted_pii,
+        language.op8_ppm_language_id,
+        secret_scan.op9_markov_secret_scan,
         url_rules.op10_url_rules,
     )
 }
-SQL = {"op1_ngram_jaccard_join": ngram_join.OP1_SQL, "op4_exact_top_k": topk.OP4_SQL}
+SQL = {"op1_ngram_jaccard_join": ngram_join.OP1_SQL, "op4_exact_top_k": topk.OP4_SQL, "op5_fm_index_dedup": substring_dedup.OP5_SQL}
