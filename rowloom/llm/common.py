@@ -80,10 +80,10 @@ def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = fmix(codes[:n] + np.uint64(k))
+    h = codes[:n] + np.uint64(k)
     for i in range(1, k):
-        h = fmix(h * _MUL + codes[i : i + n])
-    return h
+        h = h * _MUL + codes[i : i + n]
+    return fmix(h)
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -33,15 +33,18 @@ class WaveletMatrix:
             zeros = len(seq) - int(ones[-1])
             self.levels.append((b, ones, zeros))
             seq = np.concatenate([seq[~plane], seq[plane]])
+        every = np.arange(1 << bits)
+        self.start = self._down(every, np.zeros(len(every), np.int64))
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, lo, hi): occurrences of each symbol in [0, lo) and [0, hi), both counted from ``start``."""
-        first = np.zeros_like(lo)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for b, ones, zeros in self.levels:
-            one = ((symbol >> b) & 1).astype(bool)
-            f, a, c = ones[first], ones[lo], ones[hi]
-            first, lo, hi = np.where(one, zeros + f, first - f), np.where(one, zeros + a, lo - a), np.where(one, zeros + c, hi - c)
-        return first, lo, hi
+            n = ones[at]
+            at = np.where((symbol >> b) & 1, zeros + n, at - n)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of each symbol before each position."""
+        return self._down(symbol, at) - self.start[symbol]
 
 
 class FMIndex:
@@ -80,31 +83,49 @@ class FMIndex:
         live = np.arange(len(at))
         for k in range(width - 1, -1, -1):
             s = self.text[at[live] + k]
-            first, a, b = self.bwt.rank(s, lo[live], hi[live])
-            lo[live], hi[live] = self.before[s] + a - first, self.before[s] + b - first
+            lo[live], hi[live] = self.before[s] + self.bwt.rank(s, lo[live]), self.before[s] + self.bwt.rank(s, hi[live])
             live = live[hi[live] - lo[live] > 1]
             if not len(live):
                 break
         return lo, hi
 
 
-def anchors(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive windows with one anchor position: (first window, end window, code of the anchor run)."""
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def anchors(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive windows of one document with one anchor position, over the word codes of several documents.
+
+    Returns (first window, end window, code of the anchor run, code of all words of the passage). ``doc`` gives each
+    word's document; windows across two documents are left out.
+    """
+    z = np.empty(0, np.int64)
     if len(codes) < width:
-        z = np.empty(0, np.int64)
-        return z, z, np.empty(0, np.uint64)
-    g = gram_codes(codes, RUN)
+        return z, z, z.astype(np.uint64), z.astype(np.uint64)
+    least = gram_codes(codes, RUN)
     span = width - RUN + 1  # runs in a window
-    least, pos, have = g, np.arange(len(g), dtype=np.int32), 1
+    pos, have = np.arange(len(least), dtype=np.int32), 1
     while have < span:
         by = min(have, span - have)
         right = least[by:] < least[: len(least) - by]  # of equal codes the left one counts
         pos = np.where(right, pos[by:], pos[: len(pos) - by])
         least = np.minimum(least[by:], least[: len(least) - by])
         have += by
-    cut = np.flatnonzero(np.diff(pos)) + 1
-    start = np.concatenate([[0], cut])
-    return start, np.concatenate([cut, [len(least)]]), least[start]
+    whole = doc[: len(least)] == doc[width - 1 :]
+    new = np.ones(len(least), bool)
+    new[1:] = (np.diff(pos) != 0) | (np.diff(doc[: len(least)]) != 0) | ~whole[:-1]
+    start = np.flatnonzero(new & whole)
+    edge = np.flatnonzero(np.append(new | ~whole, True))
+    end = edge[np.searchsorted(edge, start, "right")]
+    power = np.full(len(codes) + 1, 1, np.uint64)
+    power[1:] = _BASE
+    np.multiply.accumulate(power, out=power)
+    back = np.full(len(codes), _BACK, np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * back, dtype=np.uint64)])
+    return start, end, least[start], (total[end + width - 1] - total[start]) * power[start] + (end - start).astype(np.uint64)
 
 
 def _first_seen(width: int):
@@ -138,7 +159,7 @@ def _first_seen(width: int):
         low = np.minimum.reduceat(np.append(by_row, np.iinfo(np.int64).max), bounds)[::2] if len(rows) else np.empty(0, np.int64)
         late = twice[age[twice] > low[where]]
         if not len(late):
-            return pd.DataFrame({"doc_id": [], "th": [], "lo": [], "hi": []}).astype("int64")
+            return pd.DataFrame({"doc_id": [], "th": [], "lo": [], "hi": []}).astype({"doc_id": "int64", "th": "int32", "lo": "int64", "hi": "int64"})
         brk = np.flatnonzero((np.diff(own[late]) != 0) | (np.diff(off[late]) != 1)) + 1
         a, b = late[np.concatenate([[0], brk])], late[np.concatenate([brk - 1, [len(late) - 1]])]
         return pd.DataFrame({"doc_id": doc[own[a]], "th": pdf["th"].to_numpy()[own[a]], "lo": start[own[a]] + off[a], "hi": start[own[b]] + off[b] + width})
@@ -154,7 +175,8 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
 
     1. A window is routed by its anchor, the leftmost RUN-word run of least code in it, so equal windows share a
        route. Consecutive windows with one anchor form a passage, which holds no window twice. Anchors that occur once are dropped.
-    2. Equal passages collapse in a grouped minimum: all but the first occurrence go whole.
+    2. Equal passages (by a 64-bit code of all their words) collapse in a grouped minimum: all but the first occurrence
+       go whole.
     3. Distinct passages meet in shards of anchors. A shard builds an FM-index (BWT in a wavelet matrix), runs
        backward search for its windows and reports those that match an earlier place. An anchor with more than HOT
        distinct passages is not put in one index: its windows are compared by grouped 128-bit keys.
@@ -164,65 +186,67 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
     repeat an id with equal text share their places, so neither is earlier; with other text they are told apart by a
     text hash, and the places of both count. Extra columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
 
-    def find(batch):
+    def find(batches):
         codes = WordCodes()
-        ids, hashes = batch.column(0), batch.column(2)
-        pick, lo, hi, code = [], [], [], []
-        for i, t in enumerate(binary_column(batch, "text")):
-            if t and ids[i].is_valid:
-                a, b, c = anchors(codes.codes(t.split()), width)
-                pick.append(np.full(len(a), i))
-                lo.append(a)
-                hi.append(b)
-                code.append(c)
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        at = pa.array(cat(pick, np.int64))
-        return pa.record_batch([pa.array(cat(code, np.uint64).view(np.int64)), ids.take(at), hashes.take(at), pa.array(cat(lo, np.int32)), pa.array(cat(hi, np.int32))], ["anchor", "doc_id", "th", "lo", "hi"])
-
-    found = map_arrow(base.where("length(text) > 0"), find, "anchor long, doc_id long, th long, lo int, hi int")
+        for b in batches:
+            ids, hashes, texts = b.column(0), b.column(2), binary_column(b, "text")
+            at = 0
+            while at < len(texts):
+                many, size, held = [], 0, at
+                while at < len(texts) and size < 100_000:
+                    many.append(codes.codes(texts[at].split()))
+                    size += len(many[-1])
+                    at += 1
+                length = np.array([len(c) for c in many])
+                begin = np.cumsum(length) - length
+                doc = np.repeat(np.arange(len(many)), length)
+                lo, hi, anchor, passage = anchors(np.concatenate(many), doc, width)
+                own = doc[lo]
+                take = pa.array(held + own)
+                yield pa.record_batch(
+                    [pa.array((anchor >> np.uint64(24)).astype(np.int64)), pa.array(passage.view(np.int64)), ids.take(take), hashes.take(take), pa.array((lo - begin[own]).astype(np.int32)), pa.array((hi - begin[own]).astype(np.int32))],
+                    ["anchor", "passage", "doc_id", "th", "start", "stop"],
+                )
+
+    found = stash(base.where("doc_id IS NOT NULL AND length(text) > 0").mapInArrow(find, "anchor long, passage long, doc_id long, th int, start int, stop int"), "runs")
     again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    spots = found.join(again, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("spots"))
-    packed_schema = "doc_id long, th long, z binary"
+    again = stash(found.join(again, "anchor"), "again")
+    first = stash(again.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "start", "th", "stop")).alias("f")).select("anchor", "passage", "f.*"), "first")
+    copies = (
+        again.join(first.select("anchor", "passage", F.struct("doc_id", "start").alias("f")), ["anchor", "passage"])
+        .where(F.struct("doc_id", "start") > F.col("f"))
+        .select("doc_id", "th", F.col("start").cast("long").alias("lo"), (F.col("stop") + width - 1).cast("long").alias("hi"))
+    )
 
     def pack(batch):
         z = zstandard.ZstdCompressor(level=1)
         return pa.record_batch([batch.column(0), batch.column(2), pa.array([None if t is None else z.compress(t) for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "th", "z"])
 
-    packed = map_arrow(base, pack, packed_schema)
+    packed = map_arrow(base, pack, "doc_id long, th int, z binary")
 
     def cut(batch):
         un = zstandard.ZstdDecompressor()
-        out = []
+        out: list[list] = [[] for _ in names]
         for d, th, z, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             words = un.decompress(z).split()
             for s in spots:
-                p = b" ".join(words[s["lo"] : s["hi"] + width - 1])
-                out.append((s["anchor"], hashlib.blake2b(p, digest_size=16).digest(), d, th, s["lo"], s["hi"], p))
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
-                out = []
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
-
-    names = ["anchor", "digest", "doc_id", "th", "start", "stop", "passage"]
-    schema = pa.schema(list(zip(names, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)))
-    passages = stash(
-        map_arrow(packed.dropDuplicates(["doc_id", "th"]).join(spots, ["doc_id", "th"]).select("doc_id", "th", "z", "spots"), cut, "anchor long, digest binary, doc_id long, th long, start int, stop int, passage binary"),
-        "passages",
-    )
-    first = stash(passages.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "th", "stop")).alias("f"), F.first("passage").alias("passage")).select("anchor", "digest", "f.*", "passage"), "first")
-    copies = (
-        passages.select("anchor", "digest", "doc_id", "th", "start", "stop")
-        .join(first.select("anchor", "digest", F.struct("doc_id", "start").alias("f")), ["anchor", "digest"])
-        .where(F.struct("doc_id", "start") > F.col("f"))
-        .select("doc_id", "th", F.col("start").cast("long").alias("lo"), (F.col("stop") + width - 1).cast("long").alias("hi"))
-    )
-    load = first.groupBy("anchor").agg(F.count("*").alias("c"))
+                for held, v in zip(out, (s["shard"], b" ".join(words[s["start"] : s["stop"] + width - 1]), d, th, s["start"]), strict=True):
+                    held.append(v)
+            if len(out[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+                out = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
+
+    names, kinds = ["shard", "passage", "doc_id", "th", "start"], [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+    load = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
     shards = max(1, -(-first.count() // SHARD))
-    out = "doc_id long, th long, lo long, hi long"
-    cool = first.join(load.where(f"c > 1 AND c <= {HOT}").select("anchor"), "anchor").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    searched = cool.select("shard", F.col("doc_id"), "th", F.col("start").cast("long").alias("start"), "passage").groupBy("shard").applyInPandas(_first_seen(width), out)
+    shard = F.when(F.col("c") > HOT, -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int")
+    spots = first.join(load, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "stop")).alias("spots"))
+    distinct = stash(map_arrow(packed.join(spots, ["doc_id", "th"]).select("doc_id", "th", "z", "spots"), cut, "shard int, passage binary, doc_id long, th int, start long"), "passages")
+    out = "doc_id long, th int, lo long, hi long"
+    searched = distinct.where("shard >= 0").groupBy("shard").applyInPandas(_first_seen(width), out)
 
     def windows(batch):
         key, pick, at = [], [], []
@@ -235,11 +259,11 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
         take = pa.array(pick, pa.int64())
         return pa.record_batch([pa.array(key, pa.binary()), batch.column(1).take(take), batch.column(2).take(take), pa.array(at, pa.int64())], ["key", "doc_id", "th", "start"])
 
-    warm = first.join(load.where(f"c > {HOT}").select("anchor"), "anchor").select("passage", "doc_id", "th", F.col("start").cast("long").alias("start"))
-    each = map_arrow(warm, windows, "key binary, doc_id long, th long, start long")
+    warm = distinct.where("shard < 0").select("passage", "doc_id", "th", "start")
+    each = map_arrow(warm, windows, "key binary, doc_id long, th int, start long")
     seen = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
     keyed = each.join(seen, "key").where(F.struct("doc_id", "start") > F.col("f")).select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
-    gone = copies.union(searched).union(keyed).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    gone = stash(copies.union(searched).union(keyed).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
 
     def keep(batch):
         un = zstandard.ZstdDecompressor()
