@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        common with any partner. Codes found in one sample only are dropped, and then samples that have too few
        codes left, twice; this leaves sets that share text with others.
     3. Global order 2 (rarest first, then code) over what is left gives each set the keys of which it must share one.
-    4. Sets that share a key become candidates. They are verified over the whole sets with a prefix tree per
+    4. Sets that share a key become candidates if what their samples share leaves the bound in reach. They are verified over the whole sets with a prefix tree per
        candidate list. Keys shared by more than HOT sets never expand into pairs: their sets form clusters which are
        joined block by block, and a block task reports degrees and a spanning set of links.
 
@@ -183,7 +184,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sets(batch, with_grams: bool):
         codes = WordCodes()
         n, digest, part = [], [], []
-        for t in binary_column(batch, "text"):
+        texts = binary_column(batch, "text")
+        for t in map(zstandard.ZstdDecompressor().decompress, texts) if with_grams else texts:
             s = shingle_set(t, k, codes)
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -191,12 +193,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = pa.binary() if with_grams else pa.list_(pa.int64())
         return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, kind)], ["doc_id", "n", "digest", "part"])
 
+    def pack(batch):
+        z = zstandard.ZstdCompressor(level=1)
+        return pa.record_batch([batch.column(0), pa.array([z.compress(t) for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "text"])
+
+    packed = map_arrow(base.where("doc_id IS NOT NULL AND length(text) > 0"), pack, "doc_id long, text binary")
     rows = stash(map_arrow(base, lambda b: sets(b, False), "doc_id long, n long, digest binary, part array<long>"), "sets")
     # l(ceil(t n)): the least number of sampled codes shared with any partner
     need = F.expr(f"CAST(-floor(-{num} * n / {den}D) AS BIGINT)")
     p_of = lambda x: x + 1 - F.floor((x * num + (den - 1)) / F.lit(den)).cast("long")
     least = F.greatest(F.lit(1).cast("long"), F.floor(p_of(need) * F.lit(slack)).cast("long"))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"))
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"), F.first(F.element_at("part", -1)).alias("top"))
 
     def shared(held: DataFrame) -> DataFrame:
         """(rep, n, part) with only codes that two or more of the sets hold; sets that keep too few are gone."""
@@ -218,9 +225,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("p.a", "p.b")
         .distinct()
     )
-    ca = active.select(F.col("rep").alias("a"), F.col("c.g").alias("ga"), least.alias("la"))
-    cb = active.select(F.col("rep").alias("b"), F.col("c.g").alias("gb"), least.alias("lb"))
-    pairs = pairs.join(ca, "a").join(cb, "b").where(F.size(F.array_intersect("ga", "gb")) >= F.greatest("la", "lb")).select("a", "b")
+    # What two samples share bounds the overlap: with the sample that ends first (of s of its n codes, up to code top)
+    # all common codes up to there are known, and at most n - s can follow.
+    size = F.least(F.col("n"), p_of(F.col("n")) - 1 + F.greatest(F.lit(1).cast("long"), F.floor(p_of(F.col("n")) * F.lit(slack)).cast("long")))
+    ends = active.join(classes.select("rep", "top"), "rep").select("rep", "n", "top", (F.col("n") - size).alias("rest"), F.col("c.g").alias("held"))
+    side = lambda x: ends.select(*[F.col(c).alias(c if c == "rep" else x + c) for c in ends.columns]).withColumnRenamed("rep", x)
+    known = F.size(F.array_intersect("aheld", "bheld")) + F.when(F.col("atop") <= F.col("btop"), F.col("arest")).otherwise(F.col("brest"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(known * (num + den) >= (F.col("an") + F.col("bn")) * num).select("a", "b")
 
     hot = keys.where(f"df > {HOT}").select("g", "rep")
     star = stash(hot.join(hot.groupBy("g").agg(F.min("rep").alias("a")), "g").select("a", F.col("rep").alias("b")).distinct(), "hot")
@@ -246,8 +257,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if spread is not None:
         wanted = wanted.union(spread.select("member"))
     info = classes.select("rep", "digest", "w").join(wanted.distinct(), "rep")
-    texts = base.join(info.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = map_arrow(texts, lambda b: sets(b, True), "doc_id long, n long, digest binary, part binary")
+    full = map_arrow(packed.join(info.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), lambda b: sets(b, True), "doc_id long, n long, digest binary, part binary")
     full = stash(
         full.join(info, (F.col("doc_id") == F.col("rep")) & (full["digest"] == info["digest"])).select(F.col("rep").alias("member"), "w", F.col("part").alias("grams")).dropDuplicates(["member"]),
         "grams",
