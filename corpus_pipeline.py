@@ -27,12 +27,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null id stay; rows that repeat an id are one document.
     """
-    groups = stash(jaccard_join(docs, k=5, num=4, den=5, slack=0.25), "groups")
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id IS NULL"))
+    groups = jaccard_join(docs, k=5, num=4, den=5, slack=0.25).where("doc_id IS NOT NULL")
+    ids = stash(groups.groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("rows")), "groups")
+    # The ids that go are fewer than those that stay, so they are what meets the texts; a null id matches none of them.
+    out = docs.join(ids.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if not ids.where("rows > 1").isEmpty():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
+    return out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a stash() that nothing reads any more."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

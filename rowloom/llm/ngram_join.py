@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, binary_column, fmix, gram_codes, map_arrow, stash
+from .common import WordCodes, binary_column, discard, fmix, gram_codes, map_arrow, stash
 from .components import components
 
 #: A key shared by more sets than this is joined in blocks instead of by pairs.
 HOT = 128
-#: Sets in one block of a hot cluster.
+#: Sets in one block of a cluster.
 BLOCK = 512
 
 
@@ -109,7 +110,7 @@ def _linker(num: int, den: int):
     def hub(pdf: pd.DataFrame) -> pd.DataFrame:
         """All rows of one hub: itself and its candidates. Rows out: links, with the partners' weights."""
         sets, size = _local([np.frombuffer(b, np.uint64) for b in pdf["grams"]])
-        at = int(np.flatnonzero((pdf["member"] == pdf["hub"]).to_numpy())[0])
+        at = int(np.flatnonzero((pdf["member"] == pdf["cluster"]).to_numpy())[0])
         mask = np.zeros(size, bool)
         mask[sets[at]] = True
         rest = [i for i in range(len(sets)) if i != at]
@@ -118,9 +119,12 @@ def _linker(num: int, den: int):
         return pd.DataFrame({"a": [ids[at]] * len(hits) + [ids[i] for i in hits], "b": [ids[i] for i in hits] + [ids[at]] * len(hits), "n_links": [w[i] for i in hits] + [w[at]] * len(hits)}, columns=["a", "b", "n_links"]).astype("int64")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Two blocks of a hot cluster (or one with itself): degrees of all links, and links enough to connect them."""
+        """Two blocks of a cluster (or one with itself): degrees of all links, and links enough to connect them.
+
+        Two sets of the same hot cluster are left to the blocks of that cluster.
+        """
         sets, size = _local([np.frombuffer(b, np.uint64) for b in pdf["grams"]])
-        ids, w, side = pdf["member"].to_numpy(), pdf["w"].to_numpy(), pdf["blk"].to_numpy()
+        ids, w, side, hot = (pdf[c].to_numpy() for c in ("member", "w", "blk", "hot"))
         lo = pdf["bi"].iloc[0]
         same = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
         base = np.flatnonzero(side == lo)
@@ -139,7 +143,7 @@ def _linker(num: int, den: int):
             mask[sets[p]] = True
             for j in trie.matches(mask, len(sets[p]), num, den):
                 j = int(base[j])
-                if j == p:
+                if j == p or hot[p] == hot[j] != -1:
                     continue
                 degree[p] += w[j]
                 if not same:
@@ -152,7 +156,11 @@ def _linker(num: int, den: int):
         out += [(ids[i], ids[i], int(degree[i])) for i in np.flatnonzero(degree)]
         return pd.DataFrame(out, columns=["a", "b", "n_links"]).astype("int64")
 
-    return hub, block
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("member", ignore_index=True)  # texts of one id that have the same set
+        return hub(pdf) if pdf["kind"].iloc[0] == "list" else block(pdf)
+
+    return verify
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10, slack: float = 0.5) -> DataFrame:
@@ -167,9 +175,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        common with any partner. Codes found in one sample only are dropped, and then samples that have too few
        codes left, twice; this leaves sets that share text with others.
     3. Global order 2 (rarest first, then code) over what is left gives each set the keys of which it must share one.
-    4. Sets that share a key become candidates if what their samples share leaves the bound in reach. They are verified over the whole sets with a prefix tree per
-       candidate list. Keys shared by more than HOT sets never expand into pairs: their sets form clusters which are
-       joined block by block, and a block task reports degrees and a spanning set of links.
+    4. Sets that share a key become candidates if what their samples share leaves the bound in reach. Candidates that
+       hang together form a cluster, whose whole sets are joined with a prefix tree block by block; a block task reports
+       degrees and a spanning set of links. Clusters too large and thin for that have a prefix tree per candidate list.
+       Keys shared by more than HOT sets never expand into pairs: their sets are clusters from the start.
 
     Defined cases: null or empty text, or text without words: n_shingles 0, own component, no links. Null ids: the
     row comes back with component_id null and takes no part. Repeated rows are documents of their own (equal
@@ -181,29 +190,42 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         p = n + 1 + (-num * n // den)
         return min(n, p - 1 + max(1, int(p * slack)))
 
-    def sets(batch, with_grams: bool):
+    def samples(batch):
         codes = WordCodes()
         n, digest, part = [], [], []
-        texts = binary_column(batch, "text")
-        for t in map(zstandard.ZstdDecompressor().decompress, texts) if with_grams else texts:
+        for t in binary_column(batch, "text"):
             s = shingle_set(t, k, codes)
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            part.append(s.tobytes() if with_grams else (s[: sample(len(s))] >> np.uint64(1)).astype(np.int64))
-        kind = pa.binary() if with_grams else pa.list_(pa.int64())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, kind)], ["doc_id", "n", "digest", "part"])
+            part.append((s[: sample(len(s))] >> np.uint64(1)).astype(np.int64))
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "part"])
+
+    def whole(batch):
+        """Whole sets of the texts that have the set of their class, one for each id; other texts of the id go."""
+        codes, grams, keep, done = WordCodes(), [], [], set()
+        for i, z, want in zip(batch.column("member").to_pylist(), binary_column(batch, "text"), binary_column(batch, "digest"), strict=True):
+            s = b"" if i in done else shingle_set(zstandard.ZstdDecompressor().decompress(z), k, codes).tobytes()
+            keep.append(hashlib.blake2b(s, digest_size=16).digest() == want)
+            if keep[-1]:
+                done.add(i)
+            grams.append(s)
+        out = batch.select(["member", "w", "goes"])
+        return pa.record_batch([*out.columns, pa.array(grams, pa.binary())], [*out.schema.names, "grams"]).filter(pa.array(keep, pa.bool_()))
 
     def pack(batch):
         z = zstandard.ZstdCompressor(level=1)
         return pa.record_batch([batch.column(0), pa.array([z.compress(t) for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "text"])
 
     packed = map_arrow(base.where("doc_id IS NOT NULL AND length(text) > 0"), pack, "doc_id long, text binary")
-    rows = stash(map_arrow(base, lambda b: sets(b, False), "doc_id long, n long, digest binary, part array<long>"), "sets")
+    sampled = stash(map_arrow(base, samples, "doc_id long, n long, digest binary, part array<long>"), "samples")
     # l(ceil(t n)): the least number of sampled codes shared with any partner
     need = F.expr(f"CAST(-floor(-{num} * n / {den}D) AS BIGINT)")
     p_of = lambda x: x + 1 - F.floor((x * num + (den - 1)) / F.lit(den)).cast("long")
     least = F.greatest(F.lit(1).cast("long"), F.floor(p_of(need) * F.lit(slack)).cast("long"))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"), F.first(F.element_at("part", -1)).alias("top"))
+    full = sampled.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"), F.first(F.element_at("part", -1)).alias("top"))
+    full = stash(full, "full-classes")
+    rows = stash(sampled.select("doc_id", "n", "digest"), "sets")
+    discard(sampled)
 
     def shared(held: DataFrame) -> DataFrame:
         """(rep, n, part) with only codes that two or more of the sets hold; sets that keep too few are gone."""
@@ -212,8 +234,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept = each.join(twice, "g").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "g")).alias("c"))
         return kept.where(F.size("c") >= least).select("rep", "n", F.sort_array("c").alias("c"))
 
-    once = stash(shared(classes.select("rep", "n", "part")).select("rep", "n", F.col("c.g").alias("part")), "shared")
+    once = stash(shared(full.select("rep", "n", "part")).select("rep", "n", F.col("c.g").alias("part")), "shared")
     active = stash(shared(once), "active")
+    classes = stash(full.drop("part"), "classes")
+    discard(full)
     keys = active.select("rep", "n", F.explode(F.slice("c", F.lit(1), (F.size("c") - least + 1).cast("int"))).alias("c")).select("rep", "n", F.col("c.df").alias("df"), F.col("c.g").alias("g"))
     fits = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["rep"] < y["rep"])
     pairs = (
@@ -235,38 +259,51 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hot = keys.where(f"df > {HOT}").select("g", "rep")
     star = stash(hot.join(hot.groupBy("g").agg(F.min("rep").alias("a")), "g").select("a", F.col("rep").alias("b")).distinct(), "hot")
-    hub, block = _linker(num, den)
-    spread = None
+    kinds = []
+
+    def blocks(member: DataFrame, kind: str) -> DataFrame:
+        """Rows of ``member`` (cluster, member, hot, nb), each for every pair of blocks that it belongs to."""
+        return (
+            member.withColumn("blk", F.pmod(F.xxhash64("member"), "nb").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("member", F.lit(kind).alias("kind"), "cluster", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "hot")
+        )
+
+    pairs, member = pairs.select("*", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")), None
     if not star.isEmpty():
         member = components(star)
         pairs = (
-            pairs.join(member.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
+            pairs.select("a", "b")
+            .join(member.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
             .join(member.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
             .where("x IS NULL OR y IS NULL OR x <> y")
-            .select("a", "b")
+            .select("a", "b", F.coalesce("x", F.lit(-1)).alias("x"), F.coalesce("y", F.lit(-1)).alias("y"))
         )
         sizes = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        spread = (
-            member.join(sizes, "component")
-            .withColumn("blk", F.pmod(F.xxhash64("node"), "nb").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("component", F.col("node").alias("member"), "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-        )
+        kinds.append(blocks(member.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("member"), F.lit(-1).cast("long").alias("hot"), "nb"), "hot"))
     pairs = stash(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    if spread is not None:
-        wanted = wanted.union(spread.select("member"))
-    info = classes.select("rep", "digest", "w").join(wanted.distinct(), "rep")
-    full = map_arrow(packed.join(info.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), lambda b: sets(b, True), "doc_id long, n long, digest binary, part binary")
-    full = stash(
-        full.join(info, (F.col("doc_id") == F.col("rep")) & (full["digest"] == info["digest"])).select(F.col("rep").alias("member"), "w", F.col("part").alias("grams")).dropDuplicates(["member"]),
-        "grams",
+    # The other pairs form clusters too. One that fits a block sends each of its sets once; so do larger ones, to each
+    # of their pairs of blocks, where that is less than a list of candidates for each set.
+    near = stash(components(pairs.select("a", "b")), "near")
+    edges = pairs.join(near.select(F.col("node").alias("a"), F.col("component").alias("cluster")), "a")
+    ends_of = edges.select("cluster", F.col("a").alias("member"), F.col("x").alias("hot")).union(edges.select("cluster", "b", "y")).distinct()
+    size_of = near.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dense = size_of.join(edges.groupBy("cluster").agg(F.count("*").alias("e")), "cluster").select("cluster", "nb", (F.expr("nb = 1 OR m * nb <= e")).alias("dense"))
+    kinds.append(blocks(ends_of.join(dense.where("dense"), "cluster").select("cluster", "member", "hot", "nb"), "near"))
+    sparse = edges.join(dense.where("NOT dense"), "cluster", "left_semi")
+    lists = sparse.select(F.col("a").alias("hub"), F.col("b").alias("member")).union(sparse.select("a", "a").distinct())
+    kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), F.lit(-1).cast("long").alias("hot")))
+    goes = reduce(DataFrame.union, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
+    wanted = classes.select(F.col("rep").alias("member"), "digest", "w").join(goes, "member")
+    texts = packed.join(wanted, F.col("doc_id") == F.col("member"))
+    shape = "array<struct<kind:string,cluster:long,bi:int,bj:int,blk:int,hot:long>>"
+    links = (
+        map_arrow(texts.select("text", "digest", "member", "w", "goes"), whole, f"member long, w long, goes {shape}, grams binary")
+        .select("member", "w", "grams", F.explode("goes").alias("to"))
+        .select("member", "w", "grams", "to.*")
+        .groupBy("kind", "cluster", "bi", "bj")
+        .applyInPandas(_linker(num, den), "a long, b long, n_links long")
     )
-    lists = pairs.select(F.col("a").alias("hub"), F.col("b").alias("member")).union(pairs.select("a", "a").distinct())
-    out = "a long, b long, n_links long"
-    links = lists.join(full, "member").groupBy("hub").applyInPandas(hub, out)
-    if spread is not None:
-        links = links.union(spread.join(full, "member").groupBy("component", "bi", "bj").applyInPandas(block, out))
     links = stash(links, "links")
     comp = components(links.select("a", "b"))
     degree = links.groupBy("a").agg(F.sum("n_links").alias("more"))
