@@ -14,6 +14,8 @@ from rowloom.llm.secret_scan import scan, train
 
 #: Least share of the best language's posterior that keeps a document.
 LEAST_SCORE = 0.5
+#: Ids of dropped documents (8 bytes each) that are broadcast; more of them are joined by a shuffle of the texts.
+MOST_SENT = 1_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = jaccard_join(docs, k=5, num=4, den=5, slack=0.25).where("doc_id IS NOT NULL")
     ids = stash(groups.groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("rows")), "groups")
     # The ids that go are fewer than those that stay, so they are what meets the texts; a null id matches none of them.
-    out = docs.join(ids.where("component < doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = ids.where("component < doc_id").select("doc_id")
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if not ids.where("rows > 1").isEmpty():
         out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
     return out
