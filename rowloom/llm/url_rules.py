@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: (verdict, rule): host, then path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Mined rules kept at most, best confidence and support first; also the bound of what is broadcast.
-MAX_RULES = 2000
+#: Mined rules that are broadcast for matching; more of them are joined by a shuffle on their key token.
+MOST_SENT = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,33 +44,49 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
+def keyed(rules: DataFrame) -> DataFrame:
+    """Rules with ``token``: the one of their antecedent that the fewest rules share, so that no token has most rules."""
+    tokens = rules.select("antecedent", F.explode("antecedent").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    least = tokens.join(shared, "token").groupBy("antecedent").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    return rules.join(least, "antecedent")
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
-    """(tokens, verdict) rows -> (rule_id, antecedent, verdict, confidence, support), at most MAX_RULES rows.
+    """(tokens, verdict) rows -> (antecedent, verdict, confidence, support), every rule that can decide.
 
     FP-growth over token sets with the verdict as one more item; rules with a verdict on the right stay, except those
-    that a rule with fewer tokens matches in confidence (their antecedent adds nothing).
+    that a rule with fewer tokens matches in confidence (their antecedent adds nothing: wherever they fire, that rule
+    fires too and goes first).
     """
     sets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
-    rules = (
-        model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
-        .select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 9, 100).alias("verdict"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), "antecedent")
-        .limit(MAX_RULES)
+    n = sets.count()
+    frequent = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets).freqItemsets
+    of_verdict = F.filter("items", lambda x: x.startswith("verdict="))
+    frequent = stash(frequent.select(F.array_sort(F.array_except("items", of_verdict)).alias("antecedent"), F.get(of_verdict, F.lit(0)).alias("verdict"), "freq"), "itemsets")
+    whole = frequent.where("verdict IS NULL").select("antecedent", F.col("freq").alias("of"))
+    rules = stash(
+        frequent.where("verdict IS NOT NULL AND size(antecedent) > 0").join(whole, "antecedent")
+        .select("antecedent", F.substring("verdict", 9, 100).alias("verdict"), (F.col("freq") / F.col("of")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support"))
+        .where(F.col("confidence") >= min_confidence),
+        "rules",
     )
-    held: list = []
-    for r in rules.collect():  # bounded by MAX_RULES
-        if not any(o[1] == r.verdict and o[2] >= r.confidence and set(o[0]) < set(r.antecedent) for o in held):
-            held.append((list(r.antecedent), r.verdict, float(r.confidence), float(r.support)))
-    return labelled.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(held)], "rule_id int, antecedent array<string>, verdict string, confidence double, support double")
+    # First against the antecedents of one token less, by equality; what is left, against all smaller ones.
+    fewer = rules.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("as_sure"))
+    larger = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("token")).withColumn("less", F.array_except("antecedent", F.array("token")))
+    rules = stash(rules.join(larger.join(fewer, ["less", "verdict"]).where("as_sure >= confidence").select("antecedent", "verdict"), ["antecedent", "verdict"], "left_anti"), "rules")
+    fewer = keyed(rules).select("token", F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("as_sure"))
+    larger = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("token"))
+    beaten = larger.join(fewer, ["token", "verdict"]).where("as_sure >= confidence AND size(less) < size(antecedent) AND size(array_except(less, antecedent)) = 0")
+    return rules.join(beaten.select("antecedent", "verdict"), ["antecedent", "verdict"], "left_anti")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the antecedent that decided, where no written rule did).
 
     Pages under a written rule are the labels. Token sets of the other pages are matched by inverted index: mined
-    antecedents by token, a rule fires when all its tokens are met, the most confident (then best supported,
-    then shortest-listed) one decides. Where none fires the verdict is ``default``.
+    antecedents by their least shared token, a rule fires when all its tokens are met, the most confident (then best
+    supported, shortest, first in order) one decides. Where none fires the verdict is ``default``.
 
     Defined cases: null urls or urls without '://' have empty host and path, no rule and the default verdict; null ids
     and repeated rows come back as they are; without any labelled page nothing is mined; an empty table gives an
@@ -83,17 +101,19 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     if mined is None:
         chosen = base.where("false").select("tokens", F.lit("").alias("says"), F.array(F.lit("")).alias("mined"))
     else:
-        index = mined.select("rule_id", "verdict", "antecedent", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
+        index = stash(keyed(mined), "index")
+        if index.count() <= MOST_SENT:
+            index = F.broadcast(index)
         open_sets = base.where("ruled IS NULL").select("tokens").distinct()
-        fired = (
+        rank = F.struct(-F.col("confidence"), -F.col("support"), F.size("antecedent"), "antecedent", F.col("verdict"))
+        chosen = (
             open_sets.select("tokens", F.explode("tokens").alias("token"))
-            .join(F.broadcast(index), "token")
-            .groupBy("tokens", "rule_id")
-            .agg(F.count("*").alias("met"), F.first("need").alias("need"), F.first("verdict").alias("says"), F.first("antecedent").alias("mined"))
-            .where("met = need")
+            .join(index, "token")
+            .where("size(array_except(antecedent, tokens)) = 0")
+            .groupBy("tokens")
+            .agg(F.min(rank).alias("first"))
+            .select("tokens", F.col("first.verdict").alias("says"), F.col("first.antecedent").alias("mined"))
         )
-        best = Window.partitionBy("tokens").orderBy("rule_id")
-        chosen = fired.withColumn("r", F.row_number().over(best)).where("r = 1").select("tokens", "says", "mined")
     return base.join(chosen, (base["tokens"] == chosen["tokens"]) & base["ruled"].isNull(), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "says", F.lit(default)).alias("verdict"), F.when(F.col("ruled").isNull(), F.array_join("mined", " ")).alias("mined")
     )

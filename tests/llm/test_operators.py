@@ -390,6 +390,44 @@ def test_urls(spark):
     assert by[7] == ("", "", None, "allow") and by[8] == ("", "", None, "allow") and by[9][2:] == (None, "block") and by[10][2] is None and by[None][:3] == ("é.org", "", None)
 
 
+@pytest.mark.parametrize("sent", [url_rules.MOST_SENT, 0])
+def test_url_rules_are_not_crowded_out(spark, monkeypatch, sent):
+    from collections import Counter
+    from itertools import combinations
+
+    monkeypatch.setattr(url_rules, "MOST_SENT", sent)
+    # One frequent shape of 12 tokens has 4095 antecedents of confidence 1; the rule of host q is rarer than all of them.
+    shape = ".".join("abcdefghij")
+    urls = [f"http://{shape}.com/de/"] * 30 + [f"http://q.com/de/{i}" for i in range(4)] + [f"http://s{i % 3}.com/fr/{i % 5 or 'x'}" for i in range(20)]
+    urls += ["http://q.net/es/3", "http://a.q.net/", "http://s1.net/fr/7", "http://n.net/es/x", "http://b.net/de/1", "http://s2.q.net/fr/de/4", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_rules.judge_urls(df).collect()}
+    assert len(got) == len(urls)
+
+    def tokens(r):
+        return {f"h:{x}" for x in r.host.split(".") if x} | {"p:#" if re.search("[0-9]", x) else f"p:{x}" for x in re.split(r"[^a-z0-9]+", r.path) if x}
+
+    labelled = [(tokens(r), r.verdict) for r in got.values() if r.rule]
+    of, with_verdict = Counter(), Counter()
+    for (t, v), n in Counter((tuple(sorted(t)), v) for t, v in labelled).items():
+        for k in range(1, len(t) + 1):
+            for a in combinations(t, k):
+                of[a] += n
+                with_verdict[a, v] += n
+    rules = sorted((-n / of[a], -n, len(a), a, v) for (a, v), n in with_verdict.items() if n / of[a] >= 0.8)
+    for r in got.values():
+        if not r.rule:
+            want = next(((v, " ".join(a)) for *_, a, v in rules if set(a) <= tokens(r)), ("allow", None))
+            assert (r.verdict, r.mined) == want
+    assert got[54].verdict == "block" and got[54].mined == "h:q"
+    kept = [(r.antecedent, r.verdict, r.confidence) for r in url_rules.mine_rules(spark.createDataFrame([(sorted(t), v) for t, v in labelled], "tokens array<string>, verdict string")).collect()]
+    best = {}
+    for c, _, _, a, v in rules:
+        best[a, v] = -c
+    want = {(a, v) for (a, v), c in best.items() if not any(best.get((s, v), 0) >= c for k in range(1, len(a)) for s in combinations(a, k))}
+    assert {(tuple(a), v) for a, v, _ in kept} == want and len(kept) == len(want)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert ngram_join.jaccard_join(docs).count() == 0
