@@ -13,92 +13,73 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Fillings tried for one bin before the incumbent is taken.
-NODES = 3000
 #: Numbering buckets per length: pieces of one length are counted in this many parts.
 BUCKETS = 64
 END = 0
 
 
-def best_filling(room: int, lengths: list[int], count: dict[int, int], nodes: int = NODES) -> list[int]:
-    """Lengths (non-increasing) that fill ``room`` best. ``lengths`` ascending, those with count > 0.
+def extend_sums(sums: list[int], lengths: list[int], count: dict[int, int], capacity: int) -> None:
+    """Append to ``sums`` what is missing: sums[i] has bit s set where pieces of the i shortest lengths can fill s."""
+    whole = (1 << (capacity + 1)) - 1
+    for x in lengths[len(sums) - 1 :]:
+        reach, left, step = sums[-1], min(count[x], capacity // x), 1
+        while left:  # copies in parts of 1, 2, 4, ... and the rest: every number of them is a sum of parts
+            step = min(step, left)
+            reach |= (reach << (step * x)) & whole
+            left -= step
+            step *= 2
+        sums.append(reach)
 
-    The first incumbent is best fit (always the longest that fits). The search then enumerates fillings by
-    non-increasing length; a last piece is always the longest that fits, since shorter ones are dominated by it; a
-    branch is left when even filling its room whole could not beat the incumbent's waste. Ends at waste 0.
-    """
-    best, waste, left = [], room, nodes
 
-    def fits(r: int, top: int) -> int:
-        return bisect.bisect_right(lengths, min(r, top)) - 1
+def best_filling(capacity: int, lengths: list[int], count: dict[int, int], sums: list[int]) -> list[tuple[int, int]]:
+    """(length, copies), longest first, that fill ``capacity`` best among all fillings with the longest length.
 
-    used: dict[int, int] = defaultdict(int)
-    r, i = room, fits(room, room)
-    while i >= 0:
+    ``lengths`` ascending, those with count > 0; ``sums`` as of extend_sums, for all lengths but the longest at least.
+    Branches on the copies of one length, most first; the bound of a branch is the most that all shorter lengths can
+    still fill. That bound is reached, not estimated, so a branch is entered only if it ends at the least waste.
+    """
+    n, top = len(lengths), lengths[-1]
+    fills = []
+    for m in range(1, min(count[top], capacity // top) + 1):
+        room = capacity - m * top
+        fills.append((m * top + (sums[n - 1] & ((1 << (room + 1)) - 1)).bit_length() - 1, m))
+    full, m = max(fills)
+    fill, rest = [(top, m)], full - m * top
+    i = bisect.bisect_right(lengths, rest, 0, n - 1)
+    while rest:
+        i -= 1
         x = lengths[i]
-        if x <= r and used[x] < count[x]:
-            best.append(x)
-            used[x] += 1
-            r -= x
-            i = fits(r, x)
-        else:
-            i -= 1
-    waste = r
-    chosen: list[int] = []
-    used.clear()
-
-    def search(r: int, top: int) -> None:
-        nonlocal best, waste, left
-        i = fits(r, top)
-        while i >= 0 and waste and left > 0:
-            left -= 1
-            x = lengths[i]
-            i -= 1
-            if used[x] >= count[x]:
-                continue
-            chosen.append(x)
-            used[x] += 1
-            if r - x < waste:
-                best, waste = list(chosen), r - x
-            if r - x >= lengths[0]:
-                if len(chosen) >= 2:  # deeper pieces: only as the longest that fits
-                    j = fits(r - x, x)
-                    while j >= 0 and used[lengths[j]] >= count[lengths[j]]:
-                        j -= 1
-                    if j >= 0 and r - x - lengths[j] < waste:
-                        best, waste = [*chosen, lengths[j]], r - x - lengths[j]
-                search(r - x, x) if len(chosen) < 3 else None
-            chosen.pop()
-            used[x] -= 1
-
-    if waste:
-        search(room, room)
-    return best
-
-
-def complete_bins(hist: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+        m = min(count[x], rest // x)
+        while not sums[i] >> (rest - m * x) & 1:
+            m -= 1
+        if m:
+            fill.append((x, m))
+            rest -= m * x
+    return fill
+
+
+def complete_bins(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Pieces counted by length -> (lengths of one sequence, how many sequences like it).
 
     The longest piece left opens a bin, its best filling completes it, and the pattern repeats as long as all its
-    lengths last. Work and result are bounded by the number of distinct lengths, not of pieces.
+    lengths last. Work and result are bounded by the number of distinct lengths and ``capacity``, not of pieces.
     """
     count = {x: n for x, n in hist.items() if n > 0}
     lengths, out = sorted(count), []
+    sums = [1]
     while lengths:
-        top = lengths[-1]
-        count[top] -= 1
-        live = lengths if count[top] else lengths[:-1]
-        fill = best_filling(capacity - top, live, count, nodes) if live and live[0] <= capacity - top else []
-        count[top] += 1
-        need: dict[int, int] = defaultdict(int)
-        for x in (top, *fill):
-            need[x] += 1
-        times = min(count[x] // n for x, n in need.items())
-        for x, n in need.items():
-            count[x] -= n * times
+        extend_sums(sums, lengths[:-1], count, capacity)
+        fill = best_filling(capacity, lengths, count, sums)
+        times = min(count[x] // m for x, m in fill)
+        for x, m in fill:
+            held = min(count[x], capacity // x)
+            count[x] -= m * times
+            at = bisect.bisect_left(lengths, x)
+            if min(count[x], capacity // x) < held:
+                del sums[at + 1 :]
             if not count[x]:
-                lengths.pop(bisect.bisect_left(lengths, x))
-        out.append(((top, *fill), times))
+                lengths.pop(at)
+        out.append((tuple(x for x, m in fill for _ in range(m)), times))
     return out
 
 

@@ -221,6 +221,20 @@ def test_complete_bins_is_whole_and_tight():
         assert sum(t for _, t in out) <= max(big, -(-sum(x * n for x, n in hist.items()) // 100)) * 1.12 + 1
 
 
+def test_best_filling_has_least_waste():
+    # More than five pieces a sequence: 5 x 300 + 2 x 274 = 2048.
+    assert sum(t for _, t in packing.complete_bins({300: 5000, 274: 2000}, 2048)) == 1000
+    r = random.Random(6)
+    for _ in range(60):
+        count = {r.randint(2, 30): r.randint(1, 7) for _ in range(r.randint(1, 7))}
+        lengths, capacity = sorted(count), r.randint(40, 90)
+        first = packing.complete_bins(count, capacity)[0][0]
+        reach = {lengths[-1]}
+        for x in lengths:
+            reach = {s + m * x for s in reach for m in range(count[x] + (x != lengths[-1])) if s + m * x <= capacity}
+        assert first[0] == lengths[-1] and sum(first) == max(reach) and all(first.count(x) <= count[x] for x in first)
+
+
 def test_tokenizer_forms_agree(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
