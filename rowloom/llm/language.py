@@ -118,13 +118,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sequences are summed on the executors and at most GRAMS per language, the most frequent, come to the driver.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    many = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()
-    if not many:
-        return None
-    take = F.lit(False)
-    for r in many:
-        share = int(min(1.0, sample / r.n) * (1 << 20))
-        take = take | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(1 << 20)) < max(1, share) if r.n > sample else (F.col("lang") == r.lang)))
+    # One row per label; the driver holds far more of each label in the end, so the rows are broadcast.
+    many = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 20)))
+    take = (F.col("n") <= sample) | (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(1 << 20)) < share)
 
     def count(batches):
         for b in batches:
@@ -136,7 +133,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 u, n = np.unique(g, return_counts=True)
                 yield pa.record_batch([pa.array([x] * len(u)), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
 
-    counts = labelled.where(take).select("lang", "text").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counts = labelled.join(F.broadcast(many), "lang").where(take).select("lang", "text").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("r") <= GRAMS).drop("r").toPandas()

@@ -325,6 +325,26 @@ def test_language(spark):
         assert abs(total - bits[1][k]) < 0.05
 
 
+def test_language_learns_every_label(spark):
+    rows = [(4 * i + j, f"{chr(0x4E00 + i)}{chr(0x5000 + i)} " * 3, f"l{i:03}") for i in range(520) for j in range(4)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2})
+    few = spark.createDataFrame([(i, f"word{i}", "en" if i % 9 else "de") for i in range(4000)], "doc_id long, text string, lang string")
+    learned = {x: int(n[(g >> 8) == 0x776F72].sum()) for x, (g, n) in _learned(few, 100).items()}
+    assert 60 < learned["en"] < 150 and 60 < learned["de"] < 150
+
+
+def _learned(df, sample):
+    """The byte sequences that learn() hands over, by label."""
+    held, trees = {}, language.ContextTrees
+    try:
+        language.ContextTrees = lambda grams: held.update(grams)
+        language.learn(df, sample=sample)
+    finally:
+        language.ContextTrees = trees
+    return held
+
+
 SECRET_TEXTS = ['token = "abcdefgh12" é', "password: token: abcdefghij", "API_KEY=short API-KEY=nothing1234", "🙂 AKIAABCDEFGHIJKL12 AKIA12", "0123456789abcdef0123456789abcdef0 then abc123", "x secret=='a' secret:abcdefghi,passwd = 'p.q-r/s+t'", "", None, "key Zx9Kq2Lm8Vt4Rb7Wp1Yd6Hs and getUserAccountName and some_long_identifier_name_2"]
 
 
