@@ -2,52 +2,50 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
-WORD_CACHE = 400_000
+#: Words whose codes a task remembers (about 20 MB), and bytes of text that it holds as Python objects at a time.
+WORD_CACHE, HELD_BYTES = 100_000, 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured."""
+    """The folder that driver and executors share. A session without one set gets it in its warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = tempfile.mkdtemp(prefix="rowloom-")
-            spark.sparkContext.setCheckpointDir(base)
+        base = held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return base.rstrip("/")
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Lineage is cut by a table that outlives any executor; the folder is removed when the driver's JVM ends.
+    Lineage is cut by a table that outlives any executor, so the shuffle files that led to it are dropped when it is
+    written; the folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    schema = df.schema
-    del df
-    gc.collect()
-    jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that led here
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out
 
@@ -58,8 +56,26 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until none of ``columns`` is called so (case aside)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of about ``most`` bytes of texts (one row at least), so that what a task turns into
+    Python objects does not grow with an Arrow batch."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
 
 
 def fmix(h: np.ndarray) -> np.ndarray:
@@ -101,15 +117,14 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+    """mapInArrow for a function of one slice of a batch."""
 
     def each(batches):
-        for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        for b in slices(batches):
+            out = fn(b)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     return df.mapInArrow(each, schema)

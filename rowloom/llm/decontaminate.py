@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCodes, gram_codes
+from .common import WordCodes, gram_codes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits in 8 blocks: two that differ in at most 23 bits differ in at most 2 bits of some block.
@@ -48,14 +49,18 @@ class HammingIndex:
         self.prints = prints
         near = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= NEAR
         parts = self._parts(prints)
-        self.tables = [[np.flatnonzero(near[v][parts[:, b]]) for v in range(256)] for b in range(BLOCKS)]
+        self.tables = []  # by block: entries in the order of the values they are near to, and where each value's begin
+        for b in range(BLOCKS):
+            value, entry = np.nonzero(near[:, parts[:, b]])
+            self.tables.append((entry.astype(np.int32), np.searchsorted(value, np.arange(257))))
 
     @staticmethod
     def _parts(p: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(p).view(np.uint8).reshape(-1, BLOCKS)
 
     def search(self, p: np.uint64) -> np.ndarray:
-        met = np.unique(np.concatenate([t[v] for t, v in zip(self.tables, self._parts(np.array([p], np.uint64))[0], strict=True)]))
+        values = self._parts(np.array([p], np.uint64))[0]
+        met = np.unique(np.concatenate([entry[at[v] : at[v + 1]] for (entry, at), v in zip(self.tables, values.tolist(), strict=True)]))
         return met[_POP[self._parts(self.prints[met] ^ p)].sum(1) <= RADIUS] if len(met) else met
 
 
@@ -63,15 +68,16 @@ class Benchmark:
     """Items grouped by length in words; one Hamming index per length, and a table of all their shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        codes, self.grams, self.groups, by = WordCodes(), {}, {}, defaultdict(list)
+        codes, self.ids, self.grams, self.groups, by = WordCodes(), [], [], {}, defaultdict(list)
         self.owners: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
         for i, text in items:
             w = plain_words(text)
             if w and i is not None:
                 k = min(SHINGLE, len(w))
                 g = gram_codes(codes.codes(w), k)
-                self.grams[i] = Counter(g.tolist())
-                by[len(w)].append((i, fingerprint(g)))
+                by[len(w)].append((len(self.ids), fingerprint(g)))
+                self.ids.append(i)
+                self.grams.append(Counter(g.tolist()))
                 for x in g.tolist():
                     self.owners[k][x].add(len(w))
         self.owners = {k: dict(v) for k, v in self.owners.items()}
@@ -84,7 +90,8 @@ class Benchmark:
             self.filters[k] = f
 
     def leaks(self, text: str | None, codes: WordCodes) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window for each item met with SIMILARITY or more."""
+        """(item id, first word, words, similarity) of the best window for each id met with SIMILARITY or more; of equal
+        ones the first."""
         words = plain_words(text)
         best: dict[int, tuple] = {}
         if not words:
@@ -112,52 +119,62 @@ class Benchmark:
                         a, b = int(run[0]), int(run[-1])
                         sums = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(_signs(g[a : b + span]), 0)])
                         prints = _pack(sums[span:] - sums[: len(sums) - span])
-                        ids, index = self.groups[n]
+                        entries, index = self.groups[n]
                         for s, p in zip(range(a, b + 1), prints, strict=True):
                             for j in index.search(p):
-                                item, window = self.grams[ids[j]], Counter(g[s : s + span].tolist())
+                                item, window = self.grams[entries[j]], Counter(g[s : s + span].tolist())
                                 both = sum((item & window).values())
                                 sim = both / (sum(item.values()) + span - both)
-                                if sim >= SIMILARITY and (ids[j] not in best or sim > best[ids[j]][2]):
-                                    best[ids[j]] = (s, min(n, len(words)), sim)
+                                i, found = self.ids[entries[j]], (s, min(n, len(words)), sim)
+                                if sim >= SIMILARITY and (i not in best or (-sim, s) < (-best[i][2], best[i][0])):
+                                    best[i] = found
         return [(i, *best[i]) for i in sorted(best)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's columns with leaks: array<struct<item_id, start, n_words, similarity>>.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "leaks") -> DataFrame:
+    """The input's columns with leaks (``out_col``): array<struct<item_id, start, n_words, similarity>>.
 
     A window of as many words as an item (or the whole document, if shorter) is compared when it shares a shingle
     with an item of that length: its SimHash goes through the multi-index search, and what is within RADIUS bits is
     verified by exact weighted Jaccard (shingle counts, five words, SIMILARITY or more). Items with fewer than five
-    words are one shingle. The benchmark is a stated query set: it is held in passes of at most PASS_BYTES of text,
-    each of which maps over the documents without a shuffle.
+    words are one shingle. The benchmark is a stated query set: it is read in passes of at most PASS_BYTES of text (or
+    one item); the driver holds one pass, builds its index once, and each pass maps over the documents without a shuffle.
 
     Defined cases: null or empty texts have no leaks and null or empty items match nothing; null item ids are left
-    out; null document ids, repeated rows and extra columns come back as they are; repeated items report one each id.
+    out; null document ids, repeated rows and extra columns come back as they are (a column named ``out_col`` is
+    replaced); items that repeat an id report once, with the best window of any of them.
     """
     spark = docs.sparkSession
-    passes, size = [[]], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
-        passes[-1].append((r[0], r[1]))
-        size += len(r[1] or "") * 4
-        if size > PASS_BYTES:
-            passes.append([])
-            size = 0
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
-    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "leaks"]).withColumn("leaks", F.array().cast(kind))
-    for items in passes:
-        shared = spark.sparkContext.broadcast(items)
+    df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col]).withColumn(out_col, F.array().cast(kind))
+
+    def one_pass(df: DataFrame, items: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Benchmark(items)))
 
-        def scan(batches, shared=shared):
-            bench, codes = Benchmark(shared.value), WordCodes()
-            for b in batches:
+        def scan(batches):
+            bench, codes = cloudpickle.loads(shared.value), WordCodes()
+            for b in slices(batches):
                 t, n = b.schema.get_field_index(text_col), b.num_columns
-                new = [(old or []) + [dict(zip(("item_id", "start", "n_words", "similarity"), x, strict=True)) for x in bench.leaks(text, codes)] for text, old in zip(b.column(t).to_pylist(), b.column(n - 1).to_pylist(), strict=True)]
+                new = []
+                for text, old in zip(b.column(t).to_pylist(), b.column(n - 1).to_pylist(), strict=True):
+                    best = {x["item_id"]: x for x in old or []}
+                    for found in bench.leaks(text, codes):
+                        x = dict(zip(("item_id", "start", "n_words", "similarity"), found, strict=True))
+                        if x["item_id"] not in best or x["similarity"] > best[x["item_id"]]["similarity"]:
+                            best[x["item_id"]] = x
+                    new.append([best[i] for i in sorted(best)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, arrow)], names=b.schema.names)
 
-        df = df.mapInArrow(scan, df.schema)
-    return df
+        return df.mapInArrow(scan, df.schema)
+
+    items, size = [], 0
+    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        items.append((r[0], r[1]))
+        size += 4 * len(r[1] or "")
+        if size > PASS_BYTES:
+            df, items, size = one_pass(df, items), [], 0
+    return one_pass(df, items) if items else df
 
 
 def op3_simhash_decontamination(spark, sf_dir: str) -> DataFrame:

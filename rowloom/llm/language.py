@@ -6,12 +6,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Documents a language is learned from, about (taken by a hash of the id), and byte sequences kept per language.
-SAMPLE, GRAMS = 600, 200_000
+from .common import slices
+
+#: Documents a language is learned from, about (taken by a hash of the id).
+SAMPLE = 600
 SLOTS = 20
+#: Bytes scored at a time.
+PART = 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -68,9 +74,9 @@ class ContextTrees:
         """Places of keys of k bytes; only for keys known to be there."""
         return g.astype(np.int64) if k <= 2 else np.searchsorted(self.keys[k], g)
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text under each language; a text starts after three spaces."""
-        raw = np.frombuffer(b"".join(b"   " + t for t in texts), np.uint8).astype(np.uint32)
+    def bits(self, parts: list[bytes]) -> np.ndarray:
+        """Code length of each part under each language; its first three bytes are context only."""
+        raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
         g = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
         at = self.slots[self._slot(g)]
         cost = self.cost[4][at]
@@ -82,8 +88,8 @@ class ContextTrees:
             bad = self.keys[4][at] != m
             miss, m = miss[bad], m[bad]
             cost[miss] = self._shorter(m)
-        length = np.array([len(t) for t in texts])
-        total = np.zeros((len(texts), len(self.langs)))
+        length = np.array([len(t) - 3 for t in parts])
+        total = np.zeros((len(parts), len(self.langs)))
         start = np.cumsum(length + 3) - length - 3
         some = np.flatnonzero(length)
         if len(some):
@@ -114,8 +120,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ContextTrees | None:
     """Trees from about ``sample`` whole documents per language that are not held out; None without any.
 
-    Documents are taken by a hash of their id, so the choice does not depend on partitioning; counts of four-byte
-    sequences are summed on the executors and at most GRAMS per language, the most frequent, come to the driver.
+    Documents are taken by a hash of their id and text, so the choice does not depend on partitioning. All four-byte
+    sequences of the sample are kept: their counts are summed on the executors and come to the driver as arrays, 12
+    bytes for each distinct sequence of a language, so their number is bounded by the sample.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     # One row per label; the driver holds far more of each label in the end, so the rows are broadcast.
@@ -124,7 +131,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     take = (F.col("n") <= sample) | (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text"), F.lit(1 << 20)) < share)
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list[bytes]] = {}
             for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(x, []).append(b"   " + t.lower().encode())
@@ -134,12 +141,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.record_batch([pa.array([x] * len(u)), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
 
     counts = labelled.join(F.broadcast(many), "lang").where(take).select("lang", "text").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("r") <= GRAMS).drop("r").toPandas()
-    if not len(top):
+    seen = counts.toArrow().to_pandas(strings_to_categorical=True)
+    if not len(seen):
         return None
-    return ContextTrees({x: (p["g"].to_numpy().astype(np.uint32), p["n"].to_numpy()) for x, p in top.sort_values(["lang", "g"]).groupby("lang")})
+    return ContextTrees({str(x): (p["g"].to_numpy().astype(np.uint32), p["n"].to_numpy()) for x, p in seen.sort_values("g").groupby("lang", observed=True)})
 
 
 def _grams(t: bytes) -> np.ndarray:
@@ -147,40 +152,44 @@ def _grams(t: bytes) -> np.ndarray:
     return (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
 
 
-def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text") -> DataFrame:
-    """The input's columns with lang_pred and score (both replaced if there).
+def identify(docs: DataFrame, model: ContextTrees | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The input's columns with ``lang_col`` and ``score_col`` (both replaced if there).
 
     The language of least code length over the whole lower-cased text; score is its share under equal priors,
     1 / sum(2 ** -(bits - least bits)). Ties go to the first name. ``und`` with score 0 for null text, text without
-    letters, or without a model. Null ids, repeated rows and extra columns come back as they are.
+    letters, or without a model. Null ids, repeated rows and extra columns come back as they are; an empty table
+    gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    keep = [c for c in docs.columns if c not in (lang_col, score_col)]
     df = docs.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text_col)
 
     def judge(batches):
-        trees = shared.value
-        for b in batches:
+        trees = cloudpickle.loads(shared.value)
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             todo = [i for i, t in enumerate(texts) if trees is not None and t and _LETTER.search(t)]
-            while todo:
-                part, size = [], 0
-                while todo and size < 400_000:
-                    t = texts[todo[-1]].lower().encode()
-                    part.append((todo.pop(), t))
-                    size += len(t)
-                bits = trees.bits([t for _, t in part])
-                best = bits.argmin(1)
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                for (i, _), j, s in zip(part, best, share, strict=True):
-                    lang[i], score[i] = trees.langs[j], float(s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    return df.mapInArrow(judge, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            bits = np.zeros((len(texts), len(trees.langs) if trees else 1))
+            parts, owner, size = [], [], 0
+            for i in todo:
+                t = b"   " + texts[i].lower().encode()  # a text starts after three spaces
+                for at_byte in range(0, len(t) - 3, PART):
+                    parts.append(t[at_byte : at_byte + PART + 3])
+                    owner.append(i)
+                    size += len(parts[-1])
+                    if size >= PART:
+                        np.add.at(bits, owner, trees.bits(parts))
+                        parts, owner, size = [], [], 0
+            if parts:
+                np.add.at(bits, owner, trees.bits(parts))
+            for i in todo:
+                lang[i] = trees.langs[int(bits[i].argmin())]
+                score[i] = float(1 / np.exp2(-np.minimum(bits[i] - bits[i].min(), 1000)).sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, lang_col, score_col])
+
+    return df.mapInArrow(judge, T.StructType([*df.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
 def op8_ppm_language_id(spark, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ from .components import components
 
 #: A key shared by more sets than this is joined in blocks instead of by pairs.
 HOT = 128
-#: Sets in one block of a cluster.
-BLOCK = 512
+#: Sets in one block of a cluster, and codes (8 bytes each): a block task holds two blocks.
+BLOCK, BLOCK_CODES = 512, 1 << 18
 
 
 def shingle_set(text: bytes | None, k: int, codes: WordCodes) -> np.ndarray:
@@ -157,7 +157,7 @@ def _linker(num: int, den: int):
         return pd.DataFrame(out, columns=["a", "b", "n_links"]).astype("int64")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("member", ignore_index=True)  # texts of one id that have the same set
+        pdf = pdf.drop_duplicates("member", ignore_index=True)  # rows that repeat the class's id and text
         return hub(pdf) if pdf["kind"].iloc[0] == "list" else block(pdf)
 
     return verify
@@ -167,10 +167,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Documents whose k-word shingle sets have Jaccard >= num/den, as components.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself
-    included), n_links (other documents linked directly). Sets are compared by 64-bit shingle codes. ``slack`` (l as
-    a share of the plain prefix length) trades sample size against the strength of step 2; it never changes the result.
+    included), n_links (other documents linked directly), text_hash (xxhash64 of the text) and link_group (equal for
+    rows that links connect; null without a set). Sets are compared by 64-bit shingle codes. ``slack`` (l as a share
+    of the plain prefix length) trades sample size against the strength of step 2; it never changes the result.
 
-    1. Equal sets form a class; only one set per class goes on.
+    1. Equal sets form a class, known by a 64-bit hash of the set; only one set per class goes on.
     2. Global order 1 (by code): of a set of n codes the first n - ceil(t n) + l hold at least min(l_a, l_b) codes in
        common with any partner. Codes found in one sample only are dropped, and then samples that have too few
        codes left, twice; this leaves sets that share text with others.
@@ -178,31 +179,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     4. Sets that share a key become candidates if what their samples share leaves the bound in reach. Candidates that
        hang together form a cluster, whose whole sets are joined with a prefix tree block by block; a block task reports
        degrees and a spanning set of links. Clusters too large and thin for that have a prefix tree per candidate list.
-       Keys shared by more than HOT sets never expand into pairs: their sets are clusters from the start.
+       Keys shared by more than HOT sets never expand into pairs: their sets are clusters from the start. Blocks of a
+       cluster hold sets of one size class (powers of den/num) and meet blocks of the same and the next class only.
 
     Defined cases: null or empty text, or text without words: n_shingles 0, own component, no links. Null ids: the
     row comes back with component_id null and takes no part. Repeated rows are documents of their own (equal
-    sets link). Extra columns are ignored.
+    sets link), also with different texts. Extra columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    codes = WordCodes()  # each task has its own
 
     def sample(n: int) -> int:
         p = n + 1 + (-num * n // den)
         return min(n, p - 1 + max(1, int(p * slack)))
 
     def samples(batch):
-        codes = WordCodes()
         n, digest, part = [], [], []
         for t in binary_column(batch, "text"):
             s = shingle_set(t, k, codes)
             n.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             part.append((s[: sample(len(s))] >> np.uint64(1)).astype(np.int64))
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "part"])
+        return pa.record_batch(
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "n", "digest", "part"],
+        )
 
     def whole(batch):
-        """Whole sets of the texts that have the set of their class, one for each id; other texts of the id go."""
-        codes, grams, keep, done = WordCodes(), [], [], set()
+        """Whole sets of the texts that have the set of their class, one for each class; other texts of the id go."""
+        grams, keep, done = [], [], set()
         for i, z, want in zip(batch.column("member").to_pylist(), binary_column(batch, "text"), binary_column(batch, "digest"), strict=True):
             s = b"" if i in done else shingle_set(zstandard.ZstdDecompressor().decompress(z), k, codes).tobytes()
             keep.append(hashlib.blake2b(s, digest_size=16).digest() == want)
@@ -216,15 +221,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         z = zstandard.ZstdCompressor(level=1)
         return pa.record_batch([batch.column(0), pa.array([z.compress(t) for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "text"])
 
-    packed = map_arrow(base.where("doc_id IS NOT NULL AND length(text) > 0"), pack, "doc_id long, text binary")
-    sampled = stash(map_arrow(base, samples, "doc_id long, n long, digest binary, part array<long>"), "samples")
+    packed = map_arrow(base.where("doc_id IS NOT NULL AND length(text) > 0").select("doc_id", "text"), pack, "doc_id long, text binary")
+    sampled = stash(map_arrow(base, samples, "doc_id long, text_hash long, n long, digest binary, part array<long>"), "samples")
     # l(ceil(t n)): the least number of sampled codes shared with any partner
     need = F.expr(f"CAST(-floor(-{num} * n / {den}D) AS BIGINT)")
     p_of = lambda x: x + 1 - F.floor((x * num + (den - 1)) / F.lit(den)).cast("long")
     least = F.greatest(F.lit(1).cast("long"), F.floor(p_of(need) * F.lit(slack)).cast("long"))
-    full = sampled.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"), F.first(F.element_at("part", -1)).alias("top"))
+    full = (
+        sampled.where("n > 0 AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("w"), F.first("part").alias("part"), F.first(F.element_at("part", -1)).alias("top"))
+        .withColumn("rep", F.xxhash64("digest"))
+    )
     full = stash(full, "full-classes")
-    rows = stash(sampled.select("doc_id", "n", "digest"), "sets")
+    rows = stash(sampled.select("doc_id", "text_hash", "n", "digest"), "sets")
     discard(sampled)
 
     def shared(held: DataFrame) -> DataFrame:
@@ -261,13 +271,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     star = stash(hot.join(hot.groupBy("g").agg(F.min("rep").alias("a")), "g").select("a", F.col("rep").alias("b")).distinct(), "hot")
     kinds = []
 
-    def blocks(member: DataFrame, kind: str) -> DataFrame:
-        """Rows of ``member`` (cluster, member, hot, nb), each for every pair of blocks that it belongs to."""
-        return (
-            member.withColumn("blk", F.pmod(F.xxhash64("member"), "nb").cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num) + 1e-9)).cast("int")
+
+    def blocks(member: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+        """(rows, sent) for ``member`` (cluster, member, hot): each member once for every pair of blocks that it belongs
+        to, and the number of those rows by cluster. A block is named 2**32 * size class + number."""
+        held = member.join(classes.select(F.col("rep").alias("member"), "n"), "member")
+        most = lambda: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CODES)).cast("int")
+        whole_of = held.groupBy("cluster").agg(most().alias("all"))
+        held = held.join(whole_of, "cluster").withColumn("s", F.when(F.col("all") > 1, size_class).otherwise(F.lit(0)))
+        sizes = held.groupBy("cluster", "s").agg(F.count("*").alias("m"), F.max("all").alias("all"), most().alias("nb"))
+        step = F.explode(F.when(F.col("all") > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        meets = sizes.select("cluster", "s", "m", "nb", step.alias("by")).select("cluster", "s", "m", "nb", (F.col("s") + F.col("by")).alias("to_s"))
+        meets = meets.join(sizes.select("cluster", F.col("s").alias("to_s"), F.col("nb").alias("to_nb")), ["cluster", "to_s"])
+        sent = meets.groupBy("cluster").agg(F.sum(F.col("m") * F.col("to_nb")).alias("sent"))
+        name = lambda c, b: F.shiftleft(F.col(c).cast("long"), 32) + F.col(b)
+        out = (
+            held.select("cluster", "member", "hot", "s")
+            .join(meets.select("cluster", "s", "nb", "to_s", "to_nb"), ["cluster", "s"])
+            .withColumn("at", F.pmod(F.xxhash64("member"), "nb"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("to_nb") - 1)))
+            .select("member", "cluster", name("s", "at").alias("blk"), name("to_s", "other").alias("other"), "hot")
             .select("member", F.lit(kind).alias("kind"), "cluster", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "hot")
         )
+        return out, sent
 
     pairs, member = pairs.select("*", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")), None
     if not star.isEmpty():
@@ -279,24 +306,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .where("x IS NULL OR y IS NULL OR x <> y")
             .select("a", "b", F.coalesce("x", F.lit(-1)).alias("x"), F.coalesce("y", F.lit(-1)).alias("y"))
         )
-        sizes = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        kinds.append(blocks(member.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("member"), F.lit(-1).cast("long").alias("hot"), "nb"), "hot"))
+        kinds.append(blocks(member.select(F.col("component").alias("cluster"), F.col("node").alias("member"), F.lit(-1).cast("long").alias("hot")), "hot")[0])
     pairs = stash(pairs, "pairs")
     # The other pairs form clusters too. One that fits a block sends each of its sets once; so do larger ones, to each
     # of their pairs of blocks, where that is less than a list of candidates for each set.
     near = stash(components(pairs.select("a", "b")), "near")
     edges = pairs.join(near.select(F.col("node").alias("a"), F.col("component").alias("cluster")), "a")
     ends_of = edges.select("cluster", F.col("a").alias("member"), F.col("x").alias("hot")).union(edges.select("cluster", "b", "y")).distinct()
-    size_of = near.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dense = size_of.join(edges.groupBy("cluster").agg(F.count("*").alias("e")), "cluster").select("cluster", "nb", (F.expr("nb = 1 OR m * nb <= e")).alias("dense"))
-    kinds.append(blocks(ends_of.join(dense.where("dense"), "cluster").select("cluster", "member", "hot", "nb"), "near"))
+    near_blocks, sent = blocks(ends_of, "near")
+    dense = sent.join(edges.groupBy("cluster").agg(F.count("*").alias("e"), F.countDistinct("a").alias("hubs")), "cluster").select("cluster", (F.expr("sent <= e + hubs + 1")).alias("dense"))
+    kinds.append(near_blocks.join(dense.where("dense"), "cluster", "left_semi"))
     sparse = edges.join(dense.where("NOT dense"), "cluster", "left_semi")
     lists = sparse.select(F.col("a").alias("hub"), F.col("b").alias("member")).union(sparse.select("a", "a").distinct())
-    kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), F.lit(-1).cast("long").alias("hot")))
-    goes = reduce(DataFrame.union, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
-    wanted = classes.select(F.col("rep").alias("member"), "digest", "w").join(goes, "member")
-    texts = packed.join(wanted, F.col("doc_id") == F.col("member"))
-    shape = "array<struct<kind:string,cluster:long,bi:int,bj:int,blk:int,hot:long>>"
+    kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("bi", "bj", "blk")], F.lit(-1).cast("long").alias("hot")))
+    goes = reduce(DataFrame.unionByName, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
+    wanted = classes.select(F.col("rep").alias("member"), "first_id", "digest", "w").join(goes, "member")
+    texts = packed.join(wanted, F.col("doc_id") == F.col("first_id"))
+    shape = "array<struct<kind:string,cluster:long,bi:long,bj:long,blk:long,hot:long>>"
     links = (
         map_arrow(texts.select("text", "digest", "member", "w", "goes"), whole, f"member long, w long, goes {shape}, grams binary")
         .select("member", "w", "grams", F.explode("goes").alias("to"))
@@ -306,23 +332,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     links = stash(links, "links")
     comp = components(links.select("a", "b"))
+    least_id = comp.join(classes.select("rep", "first_id"), F.col("rep") == F.col("node")).groupBy("component").agg(F.min("first_id").alias("least_id"))
     degree = links.groupBy("a").agg(F.sum("n_links").alias("more"))
     known = (
-        classes.select("digest", "rep", "w")
-        .join(comp, F.col("rep") == comp["node"], "left")
+        classes.select("digest", "rep", "first_id", "w")
+        .join(comp.join(least_id, "component"), F.col("rep") == F.col("node"), "left")
         .join(degree, F.col("rep") == degree["a"], "left")
-        .select("digest", F.coalesce("component", "rep").alias("component"), (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-    )
-    return rows.select("doc_id", "n", "digest").join(known, "digest", "left").select(
+        .select(
+            "digest", F.coalesce("component", "rep").alias("link_group"), F.coalesce("least_id", "first_id").alias("component"),
+            (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("links"),
+        )
+    )
+    has_set = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return rows.join(known, "digest", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),
-        F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
+        F.when(has_set, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(has_set, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
+        F.when(has_set, F.col("link_group")).alias("link_group"),
     )
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "link_group")
 
 
 OP1_SQL = """

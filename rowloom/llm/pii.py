@@ -5,26 +5,61 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The contract's base patterns, in its order.
-BASE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
-    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
-    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
-    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
-)
+from .common import slices
+
+# The contract's base kinds, in its order. Its patterns are matched piece by piece, so that a long run of
+# digits or letters is read once and not once from each of its characters.
+KINDS = ("email", "ip", "card", "phone")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOTTED, _PART = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
+_CARD, _PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of local part, @ and domain: each @ is extended to both sides."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            end = found.end()
+            yield start, end
+        at = text.find("@", max(end, at + 1))
+
+
+def dotted_quads(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping groups of four numbers joined by dots: a chain of numbers, cut in fours."""
+    for chain in _DOTTED.finditer(text):
+        if "." in chain[0]:
+            parts = list(_PART.finditer(text, chain.start(), chain.end()))
+            for i in range(0, len(parts) - 3, 4):
+                yield parts[i].start(), parts[i + 3].end()
+
+
+def spans_of(pattern: re.Pattern):
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+BASE = (("email", emails), ("ip", dotted_quads), ("card", spans_of(_CARD)), ("phone", spans_of(_PHONE)))
 # High-recall generators; their spans overlap each other and the base spans.
 GENERATORS = (
     ("number", re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,18}")),
     ("handle", re.compile(r"[A-Za-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,40}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{2,20}){1,3}")),
     ("address6", re.compile(r"(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")),
 )
+_AT = re.compile(r"[(\[]at[)\]]")
 ORDER = {k: i for i, k in enumerate([*(k for k, _ in BASE), *(k for k, _ in GENERATORS)])}
 GOOD = re.compile(r"card|visa|tel|phone|call|mobile|ssn|social|iban|account|contact|mail|fax|host|client|peer", re.I)
 POOR = re.compile(r"order|invoice|version|isbn|page|sku|part|serial|build|ticket|total|price|euro|usd|id\W*$|no\W*$|#\W*$|\$\W*$", re.I)
@@ -44,7 +79,7 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
+        return all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in s.split("."))
     if kind == "card":
         return 14 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == "phone":
@@ -55,19 +90,23 @@ def valid(kind: str, s: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; offsets are code points."""
     out = []
-    for kind, pattern in BASE:
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if valid(kind, m[0])]
+    for kind, find in BASE:
+        out += [(a, e, kind) for a, e in find(text) if valid(kind, text[a:e])]
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     for kind, pattern in GENERATORS:
-        if kind == "handle" and "at" not in text or kind == "address6" and ":" not in text:
-            continue
-        out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+        if kind == "handle":  # around each written-out at
+            end = 0
+            for at in _AT.finditer(text):
+                found = pattern.search(text, max(end, at.start() - 41), min(len(text), at.end() + 120))
+                if found and found.start() < at.start() < found.end():
+                    end = found.end()
+                    out.append((found.start(), end, kind))
+        elif kind != "address6" or ":" in text:
+            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return out
 
 
@@ -186,7 +225,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> D
     (columns named as results are replaced); an empty table gives an empty result.
     """
     model, cut = train()
-    shared = docs.sparkSession.sparkContext.broadcast((model, cut))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, cut)))
     added = [("n_email", T.LongType()), ("n_ip", T.LongType()), ("n_card", T.LongType()), ("n_phone", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType())]
     added += [("redacted", T.StringType())] if redact else []
     names = [n for n, _ in added]
@@ -194,8 +233,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> D
     at = df.columns.index(text_col)
 
     def scan(batches):
-        trees, cuts = shared.value
-        for b in batches:
+        trees, cuts = cloudpickle.loads(shared.value)
+        for b in slices(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             base = [base_spans(t) for t in texts]
             extra: list[list] = [[] for _ in texts]

@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Blocks per old shard: the smallest thing that moves. The driver holds one size per block.
 BLOCKS = 1024
 
@@ -62,8 +64,9 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost=lambda i, j: 0 if
 
 
 def place_units(units: list[tuple[int, int]], capacity: list[int]) -> list[int]:
-    """New shard of each (old shard, bytes) unit: the flow's transfers realised in whole units, largest first,
-    then single units moved or swapped down from the fullest shard while that evens the sizes out."""
+    """New shard of each (old shard, bytes) unit: the flow's transfers realised in whole units, largest first, then
+    single units moved from the fullest shard to the emptiest while that evens the sizes out. Each such move lowers
+    the sum of squared distances from the capacities, so the moves come to an end by themselves."""
     n = len(capacity)
     old_n = max([n, *(o + 1 for o, _ in units)])
     supply = [0] * old_n
@@ -86,7 +89,7 @@ def place_units(units: list[tuple[int, int]], capacity: list[int]) -> list[int]:
     for k, (_, b) in enumerate(units):
         size[to[k]] += b
         held[to[k]].append(k)
-    for _ in range(4 * n + 64):
+    while True:
         over = max(range(n), key=lambda j: size[j] - capacity[j])
         under = min(range(n), key=lambda j: size[j] - capacity[j])
         gap = (size[over] - capacity[over]) - (size[under] - capacity[under])
@@ -108,14 +111,16 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     Size is the text's UTF-8 bytes plus 1. ``old_shard`` is the present shard (a Column, non-negative int; by
     default a hash of the text modulo ``shards``). Rows fall into blocks (old shard, text hash); block sizes are
     summed on the executors, the driver solves a flow between shards and moves whole blocks. Rows of equal texts
-    share a block and so stay together; a block larger than nine tenths of a shard is split by id.
-    Slots: blocks get offsets inside their shard, rows a number inside their block, so no task numbers a whole shard.
+    (of one old shard) share a block and stay together, whatever their number: a group of copies larger than a shard's
+    share makes its shard larger, and the others share the rest.
+    Slots: blocks get offsets inside their shard, rows a number inside their part of the block (by id, where a block
+    has many rows), so no task numbers a whole shard or a whole group of copies.
 
     Defined cases: null text has size 1 and crc 0; null ids are rows as others; repeated rows get slots of their own;
     an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
-    h = F.xxhash64(F.col(text_col))
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # null as the empty text, which has the same size and crc
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
@@ -129,22 +134,16 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     capacity = [int(total * w / sum(share)) for w in share]
     capacity[0] += total - sum(capacity)
     per_task = max(1000, 8 * sum(r[3] for r in sizes) // max(1, shards * BLOCKS))
-    parts, whole = {}, {}
-    for o, b, size, n in sizes:
-        whole[o, b] = size <= 0.9 * total / shards
-        parts[o, b] = max(-(-n // per_task), 1 if whole[o, b] else min(1024, -(-64 * size * shards // total)))
-    split = spark.createDataFrame([(o, b, n) for (o, b), n in parts.items() if n > 1], "old int, blk int, n int")
+    parts = {(o, b): -(-n // per_task) for o, b, _, n in sizes if n > per_task}
+    split = spark.createDataFrame([(*k, n) for k, n in parts.items()], "old int, blk int, n int")
     unit = rows.join(F.broadcast(split), ["old", "blk"], "left").withColumn("sub", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("n")), F.lit(0)).cast("int")).drop("n")
-    pieces = sorted(tuple(r) for r in unit.groupBy("old", "blk", "sub").agg(F.sum("size"), F.count("*")).collect()) if any(n > 1 for n in parts.values()) else sorted((o, b, 0, s, n) for o, b, s, n in sizes)
-    key = lambda o, b, s: (o, b, -1 if whole[o, b] else s)
-    bytes_of: dict[tuple, int] = defaultdict(int)
-    for o, b, s, size, _ in pieces:
-        bytes_of[key(o, b, s)] += size
-    names = sorted(bytes_of)
+    pieces = sorted(tuple(r) for r in unit.groupBy("old", "blk", "sub").agg(F.count("*")).collect()) if parts else sorted((o, b, 0, n) for o, b, _, n in sizes)
+    names = sorted((o, b) for o, b, _, _ in sizes)
+    bytes_of = {(o, b): size for o, b, size, _ in sizes}
     to = dict(zip(names, place_units([(u[0], bytes_of[u]) for u in names], capacity), strict=True)) if names else {}
     start, table = [0] * shards, []
-    for o, b, s, _, n in pieces:
-        j = to[key(o, b, s)]
+    for o, b, s, n in pieces:
+        j = to[o, b]
         table.append((o, b, s, j, start[j]))
         start[j] += n
     plan = spark.createDataFrame(table, "old int, blk int, sub int, shard int, first long")
@@ -165,14 +164,28 @@ def _by(*cols):
 def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
     """Write the shards that gain or lose rows under ``path`` as shard=N folders; return their numbers.
 
-    ``assigned`` comes from reshard over the same rows, whose ids must be unique. Shards that keep exactly their
-    rows are left as they are. Ten thousand shards at most, so their numbers fit on the driver.
+    ``assigned`` comes from reshard over the same rows, whose ids must be unique. Shards that keep exactly their rows
+    are left as they are; the folder of a shard that keeps no row is removed. ``docs`` must not read from ``path``
+    (ValueError). A column of ``docs`` named shard is replaced; others come back as they are. Ten thousand shards at
+    most, so their numbers fit on the driver.
     """
+    spark = docs.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    if any(spark._jvm.java.net.URI(f).getPath().startswith(root) for f in docs.inputFiles()):
+        raise ValueError(f"the rows are read from {path}; write to another folder")
     moved = assigned.where("shard <> old_shard")
     changed = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
-    mine = assigned.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    out = docs.join(mine, docs[id_col] == mine["_id"]).drop("_id").repartition("shard", F.floor(F.col("slot") / 1_000_000))
-    out.sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    key, slot = fresh([*kept, "shard"], "id"), fresh([*kept, "shard"], "slot")
+    mine = assigned.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias(key), "shard", F.col("slot").alias(slot))
+    out = docs.select(*[F.col(f"`{c}`") for c in kept])
+    out = out.join(mine, out[id_col] == mine[key]).drop(key).repartition("shard", F.floor(F.col(slot) / 1_000_000))
+    out.sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    filled = {r[0] for r in assigned.where(F.col("shard").isin(changed)).select("shard").distinct().collect()}
+    for n in set(changed) - filled:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}"), True)
     return changed
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The contract's base patterns. A run of hex digits of 32 or more starts where the run of any length does.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -17,20 +19,40 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-
 THRESHOLD = 0.5
 #: Documents whose words teach the model of ordinary identifiers, about; generated random strings.
 SAMPLE, RANDOM = 4000, 3000
+#: Matches in one running sum.
+RUN = 256
+#: Around a word whose pairs are counted.
+START, END = "\x02", "\x03"
+
 
+def _located(text: Column, pattern: str) -> Column:
+    """Matches as array<struct<at, end, v>>: code point offsets and the match. A text without a match is searched once.
 
-def _located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches as array<struct<at, end, v>>: code point offsets and the group's text. Offsets are running sums of the
-    lengths of the matches and of the pieces between them."""
-    whole, value, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    parts = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), v.alias("v")))
+    Offsets are running sums of the lengths of matches and of the pieces between them: sums within runs of RUN matches,
+    then over the runs, so that the work for m matches grows with m * sqrt(m) at most in practice, not with m * m.
+    """
+    # A value that several lambdas need goes through an array of one, so that it is worked out once.
+    once = lambda value, fn: F.get(F.transform(F.array(value), fn), F.lit(0))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+    paired = lambda x: F.zip_with(F.slice(x["b"], 1, F.size(x["m"])), x["m"], lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("v")))
     empty = F.array().cast("array<struct<at:int,end:int,v:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["pos"] + x["gap"] + x["n"]).alias("pos"),
-        F.concat(acc["out"], F.array(F.struct((acc["pos"] + x["gap"]).alias("at"), (acc["pos"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("v")))).alias("out"),
+
+    def within(run: Column) -> Column:
+        add = lambda acc, x: F.struct(
+            (acc["pos"] + x["gap"] + x["n"]).alias("pos"),
+            F.concat(acc["out"], F.array(F.struct((acc["pos"] + x["gap"]).alias("at"), (acc["pos"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("v")))).alias("out"),
+        )
+        return F.aggregate(run, F.struct(F.lit(0).alias("pos"), empty.alias("out")), add)
+
+    in_runs = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: within(F.slice(p, i * RUN + 1, F.lit(RUN))))
+    runs = once(once(found, paired), in_runs)
+    shift = lambda acc, run: F.struct(
+        (acc["pos"] + run["pos"]).alias("pos"),
+        F.concat(acc["out"], F.array(F.transform(run["out"], lambda s: F.struct((s["at"] + acc["pos"]).alias("at"), (s["end"] + acc["pos"]).alias("end"), s["v"].alias("v"))))).alias("out"),
     )
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    nested = F.array().cast("array<array<struct<at:int,end:int,v:string>>>")
+    located = F.aggregate(runs, F.struct(F.lit(0).alias("pos"), nested.alias("out")), shift, lambda acc: F.flatten(acc["out"]))
+    return F.when(text.rlike(pattern), located).otherwise(empty)
 
 
 def _pairs(word: Column) -> Column:
@@ -39,6 +61,28 @@ def _pairs(word: Column) -> Column:
     return F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code) - 1), lambda a, b: a * 128 + b)
 
 
+def ordinary_pairs(a: str, b: str) -> dict[int, int]:
+    """What one pair of a word's characters (START and END around it) adds to the pairs of the word's five forms: in
+    lower case, as it is, in upper case, get_word_value and word-id-2024."""
+    out: dict[int, int] = {}
+
+    def add(text: str, times: int = 1) -> None:
+        for x, y in zip(text, text[1:], strict=False):
+            p = 128 * ord(x) + ord(y)
+            out[p] = out.get(p, 0) + times
+
+    if a == START:
+        add("get_" + b.lower())
+    elif b == END:
+        add(a.lower() + "_value")
+        add(a.lower() + "-id-2024")
+    else:
+        add((a + b).lower(), 3)
+        add(a + b)
+        add((a + b).upper())
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
     """log P(b|a) under random strings minus log P(b|a) under ordinary identifiers, for all 128 x 128 pairs.
 
@@ -54,14 +98,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         docs.where((F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) <= int(share * (1 << 20))) & F.col(text_col).isNotNull())
         .select(F.explode(F.split(clean, " +")).alias("w"))
         .where("length(w) >= 6")
-        .select(F.explode(F.array(F.lower("w"), F.col("w"), F.upper("w"), F.concat(F.lit("get_"), F.lower("w"), F.lit("_value")), F.concat(F.lower("w"), F.lit("-id-2024")))).alias("w"), F.lit(0).alias("random"))
+        .groupBy("w")
+        .agg(F.count("*").alias("n"))
+        .select(F.concat(F.lit(START), F.col("w"), F.lit(END)).alias("w"), "n", F.lit(0).alias("random"))
     )
     h = F.sha2(F.col("id").cast("string"), 256)
-    random = spark.range(RANDOM).select(F.explode(F.array(h, F.base64(F.unhex(h)), F.regexp_replace(F.base64(F.unhex(h)), "[+/=]", ""), F.upper(F.regexp_replace(F.base64(F.unhex(h)), "[+/=]", "")))).alias("w"), F.lit(1).alias("random"))
-    seen = words.union(random).select("random", F.explode(_pairs(F.col("w"))).alias("p")).groupBy("random", "p").agg(F.count("*").alias("n")).collect()
+    key = F.base64(F.unhex(h))
+    short = F.regexp_replace(key, "[+/=]", "")
+    random = spark.range(RANDOM).select(F.explode(F.array(h, key, short, F.upper(short))).alias("w"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("random"))
+    seen = words.union(random).select("random", "n", F.explode(_pairs(F.col("w"))).alias("p")).groupBy("random", "p").agg(F.sum("n").alias("n")).collect()
     count = [[0.5] * 16384, [0.5] * 16384]
     for r in seen:
-        count[r.random][r.p] += r.n
+        if r.random:
+            count[1][r.p] += r.n
+        else:
+            for p, times in ordinary_pairs(chr(r.p // 128), chr(r.p % 128)).items():
+                count[0][p] += r.n * times
     out = []
     for a in range(128):
         rows = [c[128 * a : 128 * a + 128] for c in count]
@@ -70,17 +122,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return out
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """The input's columns with n_assign, n_access, n_hex, base_sha256, spans (results' names are replaced).
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """The input's columns with n_assign, n_access, n_hex, base_sha256, spans (``prefix`` before each name; columns that
+    are called so are replaced).
 
     Base spans follow the contract's patterns; words that look like keys join them as ``markov`` spans where their
     mean log-likelihood ratio reaches THRESHOLD and they overlap no base span. Projections only: no shuffle, no
     Python. Defined cases: null and empty texts have no spans; null ids, repeated rows and extra columns come back
     as they are; an empty table gives an empty result.
     """
-    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    names = [prefix + n for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")]
     df = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    a, b, c, m, base = (fresh(df.columns, f"found_{n}") for n in ("assign", "access", "hex", "markov", "base"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<float>")  # folded to one literal
 
     def kind(spans: Column, name: str, rank: int) -> Column:
@@ -91,20 +145,14 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
         return F.aggregate(p, F.lit(0.0), lambda acc, i: acc + F.get(table, i).cast("double")) / F.greatest(F.size(p), F.lit(1))
 
     marks = F.filter(_located(text, TOKEN), lambda s: ratio(s["v"]) >= THRESHOLD)
-    assign = F.filter(_located(text, ASSIGN, 2), lambda s: F.length(s["v"]) >= 8)
+    assign = F.filter(_located(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["v"], ASSIGN, 2)) >= 8)
     access = F.filter(_located(text, ACCESS), lambda s: F.length(s["v"]) >= 16)
-    out = df.select("*", kind(assign, "assign", 0).alias("_a"), kind(access, "access", 1).alias("_b"), kind(_located(text, HEX), "hex", 2).alias("_c"), marks.alias("_m"))
-    out = out.withColumn("_base", F.array_sort(F.concat("_a", "_b", "_c")))
-    apart = F.filter("_m", lambda s: ~F.exists("_base", lambda b: (b["at"] < s["end"]) & (b["end"] > s["at"])))
+    out = df.select("*", kind(assign, "assign", 0).alias(a), kind(access, "access", 1).alias(b), kind(_located(text, HEX), "hex", 2).alias(c), marks.alias(m))
+    out = out.withColumn(base, F.array_sort(F.concat(a, b, c)))
+    apart = F.filter(m, lambda s: ~F.exists(base, lambda b: (b["at"] < s["end"]) & (b["end"] > s["at"])))
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.size("_a").cast("long").alias("n_assign"),
-        F.size("_b").cast("long").alias("n_access"),
-        F.size("_c").cast("long").alias("n_hex"),
-        F.sha2(say(F.col("_base")), 256).alias("base_sha256"),
-        say(F.array_sort(F.concat("_base", kind(apart, "markov", 3)))).alias("spans"),
-    )
+    values = [*(F.size(x).cast("long") for x in (a, b, c)), F.sha2(say(F.col(base)), 256), say(F.array_sort(F.concat(base, kind(apart, "markov", 3))))]
+    return out.select(*[F.col(f"`{x}`") for x in df.columns], *(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
 def op9_markov_secret_scan(spark, sf_dir: str) -> DataFrame:

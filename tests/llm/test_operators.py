@@ -140,6 +140,35 @@ def test_reshard(spark, docs):
     assert max(sizes.values()) - min(sizes.values()) <= max(r["size"] for r in got)
 
 
+def test_reshard_keeps_equal_texts_together(spark):
+    """Also a group of copies that is larger than a shard's share; the other shards share the rest evenly."""
+    rows = [(i, "copy " * 30) for i in range(60)] + [(i, f"text {i} " * (5 + i % 7)) for i in range(60, 200)] + [(None, None), (300, None), (301, "")]
+    got = reshard.reshard(spark.createDataFrame(rows, "doc_id long, text string"), shards=16).collect()
+    home, size = {}, {}
+    for r in got:
+        home.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+        size[r.shard] = size.get(r.shard, 0) + r["size"]
+    assert max(map(len, home.values())) == 1 and len(size) == 16
+    (hot,) = home[151, zlib.crc32(b"copy " * 30)]
+    rest = [v for k, v in size.items() if k != hot]
+    assert size[hot] >= 60 * 151 and max(rest) - min(rest) <= 2 * max(r["size"] for r in got)
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_reshard_moves_little_more_than_the_flow(spark):
+    r = random.Random(9)
+    units = [(r.choice([0, 0, 0, 1, 2]), r.randint(1, 40)) for _ in range(900)]
+    total = sum(b for _, b in units)
+    capacity = [total // 4] * 3 + [total - 3 * (total // 4)]
+    supply = [sum(b for o, b in units if o == i) for i in range(4)]
+    least = sum(f for (i, j), f in reshard.min_cost_flow(supply, capacity).items() if i != j)
+    to = reshard.place_units(units, capacity)
+    moved = sum(b for (o, b), j in zip(units, to, strict=True) if o != j)
+    size = [sum(b for (_, b), j in zip(units, to, strict=True) if j == k) for k in range(4)]
+    assert moved <= least + 4 * 40 and max(abs(a - b) for a, b in zip(size, capacity, strict=True)) <= 40
+
+
 def test_min_cost_flow_moves_least():
     r = random.Random(2)
     for _ in range(30):
@@ -155,11 +184,20 @@ def test_min_cost_flow_moves_least():
 
 
 def test_rewrite_affected(spark, tmp_path):
-    df = spark.createDataFrame([(i, "t" * (i % 50 + 1)) for i in range(300)], "doc_id long, text string")
-    plan = reshard.reshard(df, shards=3, old_shard=F.when(F.col("doc_id") < 250, 0).otherwise(1)).cache()
-    changed = reshard.rewrite_affected(df, plan, str(tmp_path / "o"))
-    assert 0 in changed
-    assert {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {(r.doc_id, r.shard) for r in plan.collect() if r.shard in changed}
+    df = spark.createDataFrame([(i, "t" * (i % 50 + 1), 7, 8, 9) for i in range(300)], "doc_id long, text string, shard int, slot int, id int")
+    path = str(tmp_path / "o")
+    first = reshard.reshard(df, shards=5, old_shard=F.lit(9)).cache()
+    assert reshard.rewrite_affected(df, first, path) == [0, 1, 2, 3, 4, 9]
+    old = {r.doc_id: r.shard for r in first.collect()}
+    table = F.create_map(*[F.lit(x) for kv in old.items() for x in kv])
+    plan = reshard.reshard(df, shards=2, old_shard=F.element_at(table, F.col("doc_id"))).cache()
+    changed = reshard.rewrite_affected(df, plan, path)
+    assert {2, 3, 4} <= set(changed)
+    back = spark.read.parquet(path).collect()
+    assert len(back) == 300 and {(r.doc_id, r.shard) for r in back} == {(r.doc_id, r.shard) for r in plan.collect()}
+    assert {(r.slot, r.id) for r in back} == {(8, 9)}
+    with pytest.raises(ValueError):
+        reshard.rewrite_affected(spark.read.parquet(path), plan, path)
 
 
 def test_top_k(spark, monkeypatch):
@@ -212,10 +250,10 @@ def test_complete_bins_is_whole_and_tight():
         hist = {r.randint(1, 100): r.randint(1, 9) for _ in range(25)}
         out = packing.complete_bins(hist, 100)
         back = {}
-        for lengths, times in out:
-            assert sum(lengths) <= 100
-            for x in lengths:
-                back[x] = back.get(x, 0) + times
+        for fill, times in out:
+            assert sum(x * m for x, m in fill) <= 100
+            for x, m in fill:
+                back[x] = back.get(x, 0) + m * times
         assert back == hist
         big = sum(n for x, n in hist.items() if x > 50)
         assert sum(t for _, t in out) <= max(big, -(-sum(x * n for x, n in hist.items()) // 100)) * 1.12 + 1
@@ -228,21 +266,58 @@ def test_best_filling_has_least_waste():
     for _ in range(60):
         count = {r.randint(2, 30): r.randint(1, 7) for _ in range(r.randint(1, 7))}
         lengths, capacity = sorted(count), r.randint(40, 90)
-        first = packing.complete_bins(count, capacity)[0][0]
+        first = [x for x, m in packing.greedy_bins(count, capacity)[0][0] for _ in range(m)]
         reach = {lengths[-1]}
         for x in lengths:
             reach = {s + m * x for s in reach for m in range(count[x] + (x != lengths[-1])) if s + m * x <= capacity}
         assert first[0] == lengths[-1] and sum(first) == max(reach) and all(first.count(x) <= count[x] for x in first)
 
 
+def fewest(pieces, capacity):
+    """Least number of bins by trying every place of every piece."""
+    best, pieces = [len(pieces)], sorted(pieces, reverse=True)
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                go(i + 1, [*rest, room - pieces[i]])
+        go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_least_on_small_histograms():
+    r = random.Random(3)
+    better = 0
+    for _ in range(150):
+        capacity = r.choice([10, 20, 37, 60])
+        pieces = [r.randint(1, capacity) if r.random() < 0.5 else r.randint(max(1, capacity // 4), capacity // 2) for _ in range(r.randint(1, 11))]
+        hist = {x: pieces.count(x) for x in pieces}
+        least = fewest(pieces, capacity)
+        assert packing.least_bins(hist, capacity) <= least == packing.bins(packing.complete_bins(hist, capacity))
+        better += packing.bins(packing.best_fit_bins(hist, capacity)) > least
+    assert better
+    # Greedy completion fills the first bins too well here; the search beats both incumbents.
+    hist, capacity = {30: 1, 24: 1, 22: 1, 21: 2, 20: 1, 16: 1, 14: 1, 12: 1}, 60
+    assert packing.bins(packing.complete_bins(hist, capacity)) == fewest([x for x, n in hist.items() for _ in range(n)], capacity)
+
+
 def test_tokenizer_forms_agree(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    texts = ["a<|endoftext|>b", "  two\n\n\tspaces  ", "it's ÉCOLE 日本語 🙂‍🔥 \u00a0x", "١٢٣ ½ ²", "x" * 3000, "\r\n \x0b", "e\u0301 \u200b"]
+    texts = ["a<|endoftext|>b", "  two\n\n\tspaces  ", "it's ÉCOLE 日本語 🙂‍🔥 \u00a0x", "١٢٣ ½ ²", "x" * 3000, " " * 1_000_000, "7" * 200_000, "\r\n \x0b", "e\u0301 \u200b"]
     coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.ids for r in packing.token_pieces(df, 1 << 20, "doc_id", "text", None, True).collect()}
+    got = {r.doc_id: r.ids for r in packing.token_pieces(df, 1 << 20, "doc_id", "text", None, None, True).collect()}
     assert [got[i] for i in range(len(texts))] == [[*coder.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
