@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import stash
+from rowloom.llm.common import fresh, stash
 from rowloom.llm.decontaminate import find_leaks
 from rowloom.llm.language import identify, learn
 from rowloom.llm.ngram_join import jaccard_join
@@ -14,46 +14,63 @@ from rowloom.llm.secret_scan import scan, train
 
 #: Least share of the best language's posterior that keeps a document.
 LEAST_SCORE = 0.5
-#: Ids of dropped documents (8 bytes each) that are broadcast; more of them are joined by a shuffle of the texts.
+#: Dropped documents (id and text hash, 16 bytes each) that are broadcast; more of them are joined by a shuffle of the texts.
 MOST_SENT = 1_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language stay; those without letters or without a clear language go."""
-    judged = identify(docs, learn(docs))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    """Documents with a recognised language stay; those without letters, null and empty ones go, as do ties between
+    languages (LEAST_SCORE). Null ids, repeated rows and extra columns come back as they are."""
+    lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    judged = identify(docs, learn(docs), lang_col=lang, score_col=score)
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at Jaccard 0.8 or more, the one of smallest id stays.
 
-    Rows with a null id stay; rows that repeat an id are one document.
+    Documents without words and rows with a null id stay. Of rows that repeat an id, linked ones are one document (the
+    text of least hash stays, and of equal rows the first in the order of all columns); others are documents of their own.
+    An empty table gives an empty one.
     """
-    groups = jaccard_join(docs, k=5, num=4, den=5, slack=0.25).where("doc_id IS NOT NULL")
-    ids = stash(groups.groupBy("doc_id").agg(F.max("component_id").alias("component"), F.count("*").alias("rows")), "groups")
-    # The ids that go are fewer than those that stay, so they are what meets the texts; a null id matches none of them.
-    gone = ids.where("component < doc_id").select("doc_id")
+    ids = jaccard_join(docs, k=5, num=4, den=5, slack=0.25).where("link_group IS NOT NULL").select("doc_id", "text_hash", "component_id", "link_group")
+    ids = stash(ids, "groups")
+    heads = ids.where("doc_id = component_id").groupBy("link_group", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    heads = heads.withColumn("first_hash", F.min("text_hash").over(Window.partitionBy("link_group")))
+    # The rows that go are fewer than those that stay, so they are what meets the texts.
+    gone = ids.where("component_id < doc_id").select("doc_id", "text_hash").union(heads.where("text_hash > first_hash").select("doc_id", "text_hash")).distinct()
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     if gone.count() <= MOST_SENT:
         gone = F.broadcast(gone)
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not ids.where("rows > 1").isEmpty():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
-    return out
+    out = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
+    again = heads.where("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+    if again.isEmpty():
+        return out
+    same = (out["doc_id"] == again["again_id"]) & (F.xxhash64(out["text"]) == again["again_hash"])
+    n = fresh(docs.columns, "n")
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.join(again, same, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
+    return out.join(again, same, "left_anti").union(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).drop("leaks")
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
+    leaks = fresh(docs.columns, "leaks")
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a secret go."""
-    return scan(docs, train(docs)).where("spans = ''").select(docs.columns)
+    """Documents that hold a secret go; null and empty texts hold none."""
+    prefix = ""
+    while any(c.lower().startswith(prefix + p) for c in docs.columns for p in ("n_", "base_", "spans")):
+        prefix += "_"
+    found = scan(docs, train(docs), prefix=prefix)
+    return found.where(F.col(f"{prefix}spans") == "").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces of 2048-token sequences."""
+    """What is left, as pieces of 2048-token sequences; null and empty texts are one id each."""
     return pack(docs)
 
 
