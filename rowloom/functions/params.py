@@ -46,7 +46,8 @@ def register_step(name: str):
 
 
 def _quote(text: Any, mark: str) -> str:
-    return f"{mark}{str(text).replace(mark, mark * 2)}{mark}"
+    """``text`` between quotes, as one Spark SQL literal: backslashes and quotes inside are escaped."""
+    return f"{mark}{str(text).replace(chr(92), chr(92) * 2).replace(mark, chr(92) + mark)}{mark}"
 
 
 def _whole(x: Any) -> int:
@@ -65,7 +66,7 @@ FORMATS: dict[str, Callable[[Any], Any]] = {
 
 
 def shaped(value: Any, split_on: str | None = None, format_as: str | None = None) -> Any:
-    """Split first, then format. Quotes inside values are doubled; integers are checked."""
+    """Split first, then format. Quotes and backslashes inside values are escaped; integers are checked."""
     if split_on is not None:
         value = [x.strip() for x in str(value).split(split_on)]
     if format_as is None:
@@ -144,6 +145,8 @@ def _initializer(node, ctx):
 
 @register_node("from_authorizer")
 def _from_session(node, ctx):
+    if ctx.session is None:
+        raise KeyError("from_authorizer needs an authorised session")
     return getattr(ctx.session, node["method"])(**(ctx.value(node.get("arguments")) or {}))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.predicates import predicate
-from ..functions.transforms import Options, transform
+from ..functions.transforms import Options, then, transform
 
 _PHASES = ("inline", "derived", "constants")
 
@@ -89,14 +89,16 @@ class Spec:
 
 
 def _guarded(f: dict, scope: Scope, value: Callable[[], Column], source: str | None, o: Options) -> Column:
-    """``ignore``: where its condition holds ``then`` replaces the value; where its field is absent the value is null."""
+    """``ignore``: where its condition holds ``then`` (a scalar or a transform) replaces the value; where its field is
+    absent the value is null."""
     guard = f.get("ignore")
     if guard is None:
         return value()
-    test = predicate(guard["when"], scope, guard["when"].get("field", source))
+    looked_at = guard["when"].get("field", source)
+    test = predicate(guard["when"], scope, looked_at)
     if test is None:
         return F.lit(None)
-    return F.when(test, F.lit(guard.get("then"))).otherwise(value())
+    return F.when(test, then(guard.get("then"), scope, looked_at, o)).otherwise(value())
 
 
 def _source(f: dict, scope: Scope) -> tuple[Scope, str | None]:
@@ -121,6 +123,10 @@ def output_names(spec: Spec) -> list[str]:
     return list(dict.fromkeys(_own(spec) + (output_names(Spec.parse(child)) if child else [])))
 
 
+def _item(spec: dict, kind: T.DataType, o: Options) -> Callable[[Column], Column]:
+    return lambda e: transform(spec, Scope({"item": (e, kind)}), "item", o)
+
+
 def _inline(spec: Spec, scope: Scope, o: Options, spark: SparkSession) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for f in spec.inline:
@@ -132,21 +138,45 @@ def _inline(spec: Spec, scope: Scope, o: Options, spark: SparkSession) -> dict[s
             out[f["name"]] = F.lit(None)
         elif kind == "array":
             name = f.get("from", f["name"])
-            known = at.has(name) and isinstance(at.type(name), T.ArrayType) and isinstance(at.type(name).elementType, T.StructType)
-            out[f["name"]] = _array(Spec.parse(f), at.col(name), at.type(name).elementType, o, spark) if known else F.lit(None)
+            kind_of = at.type(name).elementType if at.has(name) and isinstance(at.type(name), T.ArrayType) else None
+            if kind_of is None:
+                out[f["name"]] = F.lit(None)
+            elif isinstance(kind_of, T.StructType):
+                out[f["name"]] = _array(Spec.parse(f), at.col(name), kind_of, o, spark)
+            elif "item_transform" in f:
+                out[f["name"]] = F.transform(at.col(name), _item(f["item_transform"], kind_of, o))
+            else:
+                raise ValueError(f"{f['name']}: an array of {kind_of.simpleString()} needs item_transform")
         else:
             at, name = _source(f, at)
             out[f["name"]] = _guarded(f, at, lambda f=f, at=at, name=name: transform(f["transform"], at, name, o), name, o)
     return out
 
 
+def fields_read(node) -> set[str]:
+    """Names that a field's definition reads: under from, field, numerator and denominator, and a formula's names."""
+    out: set[str] = set()
+    if isinstance(node, dict):
+        for k, v in node.items():
+            if k in ("from", "field", "numerator", "denominator") and isinstance(v, str):
+                out.add(v)
+            elif k == "expression" and isinstance(v, str):
+                out |= set(re.findall(r"[A-Za-z_]\w*", v))
+            else:
+                out |= fields_read(v)
+    elif isinstance(node, (list, tuple)):
+        for v in node:
+            out |= fields_read(v)
+    return out
+
+
 def _waves(spec: Spec, o: Options) -> list[dict[str, Callable[[Scope], Column]]]:
-    """Derived fields by dependency level: a field waits for the derived fields before it that it names."""
+    """Derived fields by dependency level: a field waits for the derived fields before it that it reads."""
     waves: list[dict] = []
     placed: dict[str, int] = {}
     for f in spec.derived:
-        text = set(re.findall(r"[\w.-]+", repr({k: v for k, v in f.items() if k != "name"})))
-        wave = placed[f["name"]] = 1 + max([-1, *(w for n, w in placed.items() if n in text)])
+        read = fields_read(f)
+        wave = placed[f["name"]] = 1 + max([-1, *(w for n, w in placed.items() if n in read)])
         if wave == len(waves):
             waves.append({})
         waves[wave][f["name"]] = lambda s, f=f: _guarded(f, s, lambda: transform(f["transform"], s, f.get("from"), o), f.get("from"), o)

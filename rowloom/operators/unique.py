@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 def unique_on(df: DataFrame, keys: list[str], order_by: list[str | Column]) -> DataFrame:
     """Of rows with equal keys the first in ``order_by`` stays; null keys are equal. A key that is no column counts
-    as null. One shuffle, on the keys; a hot key meets its rows after each task has kept its own first (the window's
-    group limit)."""
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys if k in df.columns] or [F.lit(0)]).orderBy(*order_by)
+    as null; if none is a column, all rows are equal and one stays. One shuffle, on the keys; a hot key meets its rows
+    after each task has kept its own first (the window's group limit, or the top row of each task)."""
+    known = [F.col(f"`{k}`") for k in keys if k in df.columns]
+    if not known:
+        return df.orderBy(*order_by).limit(1)
+    w = Window.partitionBy(*known).orderBy(*order_by)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

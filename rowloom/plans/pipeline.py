@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.params import Context, evaluate, register_step
 from ..functions.transforms import Options
 from ..operators.compiler import apply_spec
-from ..sources.readers import connect, dispatch, find_config, read_config
+from ..sources.readers import dispatch, find_config, open_client, read_config
 from ..sources.sinks import export_csv
 
 
@@ -81,10 +81,9 @@ def load_config(config_root: str, module: str, namespace: str, config_name: str)
 
 
 @register_step("connect")
-def open_source(config: dict, spark: SparkSession | None = None, external_input: dict | None = None):
-    """The source a connector configuration names under ``client``."""
-    options = {k: evaluate(v, external_input) for k, v in (config["client"].get("options") or {}).items()}
-    return connect(spark or SparkSession.active(), config["client"]["source"], **options)
+def open_source(config: dict, spark: SparkSession | None = None, external_input: dict | None = None, config_root: str | None = None):
+    """The source a connector configuration names under ``client``, authorised where it asks for that."""
+    return open_client(spark or SparkSession.active(), config, external_input, config_root)
 
 
 @register_step("dispatch")
@@ -115,14 +114,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p.add_argument("--pipeline-config", required=True)
     p.add_argument("--data-ingestion-config", required=True)
     p.add_argument("--config-root", required=True)
-    p.add_argument("--output-dir", default="/tmp")
+    p.add_argument("--output-dir", help="a folder that driver and executors share; by default exports in the warehouse")
     p.add_argument("--auth-data", type=pair, action="extend", nargs="+", default=[])
     p.add_argument("--external-input", type=pair, action="extend", nargs="+", default=[])
     p.add_argument("--verbose", action="store_true")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     data = dict(a.external_input)  # credentials stay in a store of their own and in no plan
-    inputs = {"namespace": a.namespace, "data_ingestion_config": a.data_ingestion_config, "config_root": a.config_root, "output_dir": a.output_dir, "auth_store": dict(a.auth_data), "data_store": data, "spark": spark, **data}
+    inputs = {"namespace": a.namespace, "data_ingestion_config": a.data_ingestion_config, "config_root": a.config_root, "output_dir": a.output_dir or spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/exports", "auth_store": dict(a.auth_data), "data_store": data, "spark": spark, **data}
     built = build(read_config(a.pipeline_config), inputs)
     if a.verbose:
         print("steps:", *built.steps)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.params import evaluate
 from ..operators.compiler import apply_spec
 from ..operators.unique import export_projection, unique_on
-from ..sources.readers import SqlClient, dispatch, filter_columns, flatten_batches
+from ..sources.readers import SqlClient, dispatch, filter_columns, flatten_batches, open_client, read_config, read_csv
+from ..sources.sinks import export_csv
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -238,6 +241,54 @@ def registered_transform(spark, d):
     return apply_spec(table(spark, d, "orders"), {"inline": [field("p", "o_orderpriority", "uppercase")]}, keep=("o_orderkey",))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 0.01, 2) ELSE round(o_totalprice, 2) END AS due, CASE WHEN o_orderpriority IN ('5-LOW') THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS who FROM orders")
+def ignore_then_transform(spark, d):
+    return apply_spec(table(spark, d, "orders"), {"inline": [
+        field("due", "o_totalprice", "float", precision=2, ignore={"when": {"field": "o_orderstatus", "equal": "F"}, "then": {"type": "currency", "field": "o_totalprice", "multiplier": 0.01}}),
+        field("who", "o_orderpriority", "string", ignore={"when": {"in": ["5-LOW"]}, "then": {"type": "string", "field": "o_custkey"}}),
+    ]}, keep=("o_orderkey",))
+
+
+@query("""SELECT o_orderkey, round(o_totalprice, 2) AS "total price", round(round(o_totalprice, 2) * 0.1, 1) AS "a tenth", CASE WHEN round(round(o_totalprice, 2) * 0.1, 1) > 10000 THEN 'high' ELSE 'low' END AS "the level" FROM orders""")
+def derived_names(spark, d):
+    """Derived fields whose names hold spaces still wait for each other."""
+    level = {"type": "case", "cases": [{"when": {"field": "a tenth", "greater_than": 10000}, "then": "high"}], "default": "low"}
+    config = {"inline": [field("total price", "o_totalprice", "float", precision=2)], "derived": [
+        {"name": "a tenth", "from": "total price", "transform": {"type": "currency", "multiplier": 0.1, "rounding": 1}}, {"name": "the level", "transform": level}]}
+    return apply_spec(table(spark, d, "orders"), config, keep=("o_orderkey",))
+
+
+@query("SELECT o_orderkey, unnest([o_custkey + 0.5, o_orderkey + 0.5]) AS half, unnest([lower(o_orderpriority), lower(o_orderstatus)]) AS word FROM orders")
+def array_scalars(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.array(F.col("o_custkey") + F.lit(0.5), F.col("o_orderkey") + F.lit(0.5)).cast("array<string>").alias("n"), F.array("o_orderpriority", "o_orderstatus").alias("w"))
+    config = {"inline": [{"name": "halves", "from": "n", "type": "array", "item_transform": {"type": "float", "precision": 1}}, {"name": "words", "from": "w", "type": "array", "item_transform": {"type": "lowercase"}}]}
+    out = apply_spec(df, config, keep=("o_orderkey",)).select("o_orderkey", F.explode(F.arrays_zip("halves", "words")).alias("z"))
+    return out.select("o_orderkey", F.col("z.halves").alias("half"), F.col("z.words").alias("word"))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS n_nationkey, n_name || ', "' || n_regionkey || '"' AS note, '' AS nothing FROM nation""")
+def csv_roundtrip(spark, d):
+    """Exported as gzip tab-separated text and read back: quotes, delimiters and empty cells come through."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "'), "n_regionkey", F.lit('"')).alias("note"), F.lit(None).cast("string").alias("nothing"))
+    path = export_csv(rows, {"filename": "nation", "unique_on": ["n_nationkey"], "fields": rows.columns}, spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/exports", ["note"])
+    return read_csv(spark, path, sep="\t")
+
+
+CONFIGS = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "configs")
+
+
+@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS key, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS state, lower(o_orderpriority) AS urgency,
+  CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 0.01, 3) ELSE round(o_totalprice, 1) END AS due, CAST(o_custkey AS DOUBLE) AS buyer FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '1%')
+SELECT key, state, urgency, due, CASE WHEN buyer > 0 THEN round(due / buyer, 4) ELSE 0.0 END AS "per buyer",
+  CASE WHEN buyer > 0 AND round(due / buyer, 4) > 100 THEN round(due / buyer, 0) ELSE -1.0 END AS level, 'orders' AS channel FROM o""")
+def configured_source(spark, d):
+    """The shipped configuration: an authorised session, filters pushed to the scan, records by the shipped specification."""
+    source = read_config(f"{CONFIGS}/connector/tables/orders.yaml")
+    rows = dispatch(open_client(spark, source, {"root": d}, CONFIGS), source["request"], {"states": "F,P", "priority": "1%"})
+    config = read_config(f"{CONFIGS}/serializer/tables/orders.yaml")
+    return export_projection(unique_on(apply_spec(rows, config), ["key"], ["key"]), config["export"]["fields"])
+
+
 FLAGSHIP = {
     "inline": [
         field("key", "o_orderkey", "string"), field("status", "o_orderstatus", "enum", mappings=STATUS), field("price", "o_totalprice", "float", precision=2), field("day", "o_orderdate", "date_parser", format={"output": "%Y-%m-%d"}),

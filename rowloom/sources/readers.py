@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.params import Context, filter_items
+from ..functions.params import Context, filter_items, register_step
 
 _SOURCES: dict[str, Callable] = {}
 
@@ -44,14 +45,15 @@ def find_config(root: str, module: str, namespace: str, name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """Comma, quotes doubled, a header; every value text, an empty cell an empty text. Cells of short rows are also
-    empty texts."""
+    empty texts. Files may hold line breaks in quotes, so each is read by one task; ``multiLine=False`` lets large
+    ones be split where there are none."""
     df = spark.read.options(**{"header": True, "inferSchema": False, "multiLine": True, "quote": '"', "escape": '"', **options}).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
 def from_records(spark: SparkSession, records: Iterable[dict], schema: str | T.StructType | None = None) -> DataFrame:
-    """Dict records (small ones: fixtures, API pages) as a DataFrame; mixed scalars of one key become text.
-    ``_seq`` carries their order."""
+    """Dict records held by the driver (fixtures, one API page; not for bulk data) as a DataFrame; mixed scalars of one
+    key become text. ``_seq`` carries their order."""
     lines = [(i, json.dumps(r)) for i, r in enumerate(records)]
     raw = spark.createDataFrame(lines, "_seq long, line string")
     schema = schema or spark.read.json(spark.createDataFrame([(x,) for _, x in lines], "value string").rdd.map(lambda r: r[0])).schema
@@ -63,26 +65,36 @@ def flatten_batches(df: DataFrame, results: str = "results") -> DataFrame:
     return df.select(F.explode(results).alias("__r")).select("__r.*")
 
 
+_OPERATORS = {
+    "=": lambda c, v: c == F.lit(v), "==": lambda c, v: c == F.lit(v), "EQUAL": lambda c, v: c == F.lit(v), "!=": lambda c, v: c != F.lit(v), "<>": lambda c, v: c != F.lit(v),
+    "<": lambda c, v: c < F.lit(v), "<=": lambda c, v: c <= F.lit(v), ">": lambda c, v: c > F.lit(v), ">=": lambda c, v: c >= F.lit(v),
+    "IN": lambda c, v: c.isin(list(v)), "NOT IN": lambda c, v: ~c.isin(list(v)), "LIKE": lambda c, v: c.like(v), "CONTAIN": lambda c, v: c.contains(v),
+}
+
+
+def conditions(filters: list[dict]) -> Column:
+    """Filters as dicts of key, operator and value (in this order, whatever their names) as one Column."""
+    out = F.lit(True)
+    for key, operator, value in (tuple(f.values()) for f in filters):
+        if operator.upper() not in _OPERATORS:
+            raise ValueError(f"operator {operator!r} has no column form")
+        out = out & _OPERATORS[operator.upper()](F.col(key), value)
+    return out
+
+
 def filter_columns(node: dict, inputs: dict | None = None) -> Column:
     """A filter or sql_filter node as one Column; parameters that are left out drop their condition.
 
     Values are typed literals, never text spliced into SQL. Operators: = == != <> < <= > >= IN, NOT IN, LIKE, CONTAIN.
     """
-    ops = {
-        "=": lambda c, v: c == F.lit(v), "==": lambda c, v: c == F.lit(v), "EQUAL": lambda c, v: c == F.lit(v), "!=": lambda c, v: c != F.lit(v), "<>": lambda c, v: c != F.lit(v),
-        "<": lambda c, v: c < F.lit(v), "<=": lambda c, v: c <= F.lit(v), ">": lambda c, v: c > F.lit(v), ">=": lambda c, v: c >= F.lit(v),
-        "IN": lambda c, v: c.isin(list(v)), "NOT IN": lambda c, v: ~c.isin(list(v)), "LIKE": lambda c, v: c.like(v), "CONTAIN": lambda c, v: c.contains(v),
-    }
     plain = {"items": {k: {**i, "value": {a: b for a, b in i["value"].items() if a != "format_as"} if isinstance(i["value"], dict) else i["value"]} for k, i in node["items"].items()}}
     ints = {k for k, i in node["items"].items() if isinstance(i["value"], dict) and i["value"].get("format_as") in ("INT", "INT_LIST")}
-    out = F.lit(True)
+    out = []
     for k, o, v in filter_items(plain, Context(inputs)):
         if k in ints:
             v = [int(x) for x in v] if isinstance(v, (list, tuple)) else int(v)
-        if o.upper() not in ops:
-            raise ValueError(f"operator {o!r} has no column form")
-        out = out & ops[o.upper()](F.col(k), v)
-    return out
+        out.append({"key": k, "operator": o, "value": v})
+    return conditions(out)
 
 
 class SqlClient:
@@ -101,12 +113,26 @@ class TableClient:
     def __init__(self, spark: SparkSession, path: str, format: str = "parquet", **options):
         self.df = spark.read.format(format).options(**options).load(path)
 
-    def get(self, fields: list[str] | None = None, where: Column | None = None, limit: int | None = None) -> DataFrame:
+    def get(self, fields: list[str] | None = None, where: Column | list[dict] | None = None, limit: int | None = None) -> DataFrame:
+        """``where``: a Column, or what a ``filter`` node of a configuration gives."""
+        if where is not None and not isinstance(where, Column):
+            where = conditions(where)
         df = self.df if where is None else self.df.where(where)
         df = df if fields is None else df.select(*fields)
         return df if limit is None else df.limit(limit)
 
 
+class TableSession:
+    """An authorised session over a folder of tables: it gives the paths, and would hold a token for a source that asks."""
+
+    def __init__(self, root: str, token: str | None = None):
+        self.root, self._token = root.rstrip("/"), token
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+
+register_step("table_session")(TableSession)
 register_source("sql")(SqlClient)
 register_source("table")(TableClient)
 
@@ -117,6 +143,28 @@ def connect(spark: SparkSession, name: str, **options):
     return _SOURCES[name](spark, **options)
 
 
+def authorize(config: dict, inputs: dict | None = None) -> Any:
+    """The session that an authorization configuration's ``initializer`` makes of the given credentials."""
+    from ..functions.params import evaluate
+
+    return evaluate(config["initializer"], inputs)
+
+
+def open_client(spark: SparkSession, config: dict, inputs: dict | None = None, config_root: str | None = None) -> Any:
+    """The source that a connector configuration names under ``client``.
+
+    With ``authorization`` (namespace, config_name) its session is made first, from the file of that name under
+    config_root/authorization/namespace; options reach it by ``from_authorizer`` nodes. Credentials stay on the driver.
+    """
+    from ..functions.params import evaluate
+
+    session = None
+    if auth := config.get("authorization"):
+        session = authorize(read_config(find_config(config_root, "authorization", auth["namespace"], auth["config_name"])), inputs)
+    options = {k: evaluate(v, inputs, session) for k, v in (config["client"].get("options") or {}).items()}
+    return connect(spark, config["client"]["source"], **options)
+
+
 def dispatch(client, config: dict, inputs: dict | None = None) -> DataFrame:
     """Evaluate ``arguments``, call the client's ``method`` with them, and flatten batches where ``post_processor``
     is set."""
