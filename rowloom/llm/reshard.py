@@ -90,11 +90,14 @@ def place_units(units: list[tuple[int, int]], capacity: list[int]) -> list[int]:
         size[to[k]] += b
         held[to[k]].append(k)
     while True:
-        over = max(range(n), key=lambda j: size[j] - capacity[j])
-        under = min(range(n), key=lambda j: size[j] - capacity[j])
-        gap = (size[over] - capacity[over]) - (size[under] - capacity[under])
-        fit = [k for k in held[over] if 0 < units[k][1] < gap]
-        if not fit:
+        excess = [size[j] - capacity[j] for j in range(n)]
+        under = min(range(n), key=excess.__getitem__)
+        for over in sorted(range(n), key=lambda j: -excess[j]):  # a shard that one large unit overfills cannot give
+            gap = excess[over] - excess[under]
+            fit = [k for k in held[over] if 0 < units[k][1] < gap]
+            if fit:
+                break
+        else:
             break
         k = min(fit, key=lambda k: (abs(units[k][1] - gap // 2), k))
         held[over].remove(k)
