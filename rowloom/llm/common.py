@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,8 +16,8 @@ _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
-#: Words whose codes a task remembers (about 20 MB), and bytes of text that it holds as Python objects at a time.
-WORD_CACHE, HELD_BYTES = 100_000, 2 << 20
+#: Words whose codes a task remembers (about 10 MB), and bytes of text that it holds as Python objects at a time.
+WORD_CACHE, HELD_BYTES = 50_000, 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -76,6 +77,16 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = HELD_BYTES) -> Iterato
         for lo, hi in zip(cut, cut[1:], strict=False):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers are reused and would keep their largest task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

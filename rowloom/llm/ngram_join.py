@@ -276,29 +276,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def blocks(member: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         """(rows, sent) for ``member`` (cluster, member, hot): each member once for every pair of blocks that it belongs
         to, and the number of those rows by cluster. A block is named 2**32 * size class + number."""
-        held = member.join(classes.select(F.col("rep").alias("member"), "n"), "member")
-        most = lambda: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CODES)).cast("int")
-        whole_of = held.groupBy("cluster").agg(most().alias("all"))
-        held = held.join(whole_of, "cluster").withColumn("s", F.when(F.col("all") > 1, size_class).otherwise(F.lit(0)))
-        sizes = held.groupBy("cluster", "s").agg(F.count("*").alias("m"), F.max("all").alias("all"), most().alias("nb"))
-        step = F.explode(F.when(F.col("all") > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-        meets = sizes.select("cluster", "s", "m", "nb", step.alias("by")).select("cluster", "s", "m", "nb", (F.col("s") + F.col("by")).alias("to_s"))
-        meets = meets.join(sizes.select("cluster", F.col("s").alias("to_s"), F.col("nb").alias("to_nb")), ["cluster", "to_s"])
-        sent = meets.groupBy("cluster").agg(F.sum(F.col("m") * F.col("to_nb")).alias("sent"))
+        held = member.join(classes.select(F.col("rep").alias("member"), "n"), "member").withColumn("s", size_class)
+        held = stash(held.select("cluster", "member", "hot", "n", "s"), "members")
+        most = F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("codes") / BLOCK_CODES)).cast("int")
+        sizes = held.groupBy("cluster", "s").agg(F.count("*").alias("m"), F.sum("n").alias("codes"))
+        every = sizes.groupBy("cluster").agg(most.alias("all"), F.sum("m").alias("members"))
+        # A cluster that fits one block is one block, whatever its size classes.
+        small = stash(every.where("`all` = 1").select("cluster", F.col("members").alias("sent")), "small")
+        by_class = sizes.join(small, "cluster", "left_anti").groupBy("cluster", "s").agg(F.sum("m").alias("m"), most.alias("nb"))
+        by_class = stash(by_class, "blocks")
+        meets = by_class.withColumn("to_s", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)))
+        meets = stash(meets.join(by_class.select("cluster", F.col("s").alias("to_s"), F.col("nb").alias("to_nb")), ["cluster", "to_s"]), "meets")
+        sent = small.union(meets.groupBy("cluster").agg(F.sum(F.col("m") * F.col("to_nb")).alias("sent")))
         name = lambda c, b: F.shiftleft(F.col(c).cast("long"), 32) + F.col(b)
-        out = (
-            held.select("cluster", "member", "hot", "s")
-            .join(meets.select("cluster", "s", "nb", "to_s", "to_nb"), ["cluster", "s"])
+        large = (
+            held.join(meets.select("cluster", "s", "nb", "to_s", "to_nb"), ["cluster", "s"])
             .withColumn("at", F.pmod(F.xxhash64("member"), "nb"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("to_nb") - 1)))
             .select("member", "cluster", name("s", "at").alias("blk"), name("to_s", "other").alias("other"), "hot")
-            .select("member", F.lit(kind).alias("kind"), "cluster", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "hot")
+            .select("member", "cluster", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "hot")
         )
-        return out, sent
+        zero = F.lit(0).cast("long")
+        whole_of = held.join(small, "cluster", "left_semi").select("member", "cluster", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "hot")
+        return large.union(whole_of).withColumn("kind", F.lit(kind)), sent
 
     pairs, member = pairs.select("*", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")), None
     if not star.isEmpty():
-        member = components(star)
+        member = stash(components(star), "hot-clusters")
         pairs = (
             pairs.select("a", "b")
             .join(member.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
@@ -311,17 +315,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The other pairs form clusters too. One that fits a block sends each of its sets once; so do larger ones, to each
     # of their pairs of blocks, where that is less than a list of candidates for each set.
     near = stash(components(pairs.select("a", "b")), "near")
-    edges = pairs.join(near.select(F.col("node").alias("a"), F.col("component").alias("cluster")), "a")
+    edges = stash(pairs.join(near.select(F.col("node").alias("a"), F.col("component").alias("cluster")), "a"), "clustered")
     ends_of = edges.select("cluster", F.col("a").alias("member"), F.col("x").alias("hot")).union(edges.select("cluster", "b", "y")).distinct()
     near_blocks, sent = blocks(ends_of, "near")
     dense = sent.join(edges.groupBy("cluster").agg(F.count("*").alias("e"), F.countDistinct("a").alias("hubs")), "cluster").select("cluster", (F.expr("sent <= e + hubs + 1")).alias("dense"))
+    dense = stash(dense, "dense")
     kinds.append(near_blocks.join(dense.where("dense"), "cluster", "left_semi"))
     sparse = edges.join(dense.where("NOT dense"), "cluster", "left_semi")
     lists = sparse.select(F.col("a").alias("hub"), F.col("b").alias("member")).union(sparse.select("a", "a").distinct())
     kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("bi", "bj", "blk")], F.lit(-1).cast("long").alias("hot")))
     goes = reduce(DataFrame.unionByName, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
-    wanted = classes.select(F.col("rep").alias("member"), "first_id", "digest", "w").join(goes, "member")
-    texts = packed.join(wanted, F.col("doc_id") == F.col("first_id"))
+    wanted = stash(classes.select(F.col("rep").alias("member"), "first_id", "digest", "w").join(goes, "member"), "wanted")
+    # Always by a shuffle: beside a broadcast, packing and unpacking would share a stage and hold two workers a task.
+    texts = packed.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id"))
     shape = "array<struct<kind:string,cluster:long,bi:long,bj:long,blk:long,hot:long>>"
     links = (
         map_arrow(texts.select("text", "digest", "member", "w", "goes"), whole, f"member long, w long, goes {shape}, grams binary")
@@ -331,7 +337,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .applyInPandas(_linker(num, den), "a long, b long, n_links long")
     )
     links = stash(links, "links")
-    comp = components(links.select("a", "b"))
+    comp = stash(components(links.select("a", "b")), "components")
     least_id = comp.join(classes.select("rep", "first_id"), F.col("rep") == F.col("node")).groupBy("component").agg(F.min("first_id").alias("least_id"))
     degree = links.groupBy("a").agg(F.sum("n_links").alias("more"))
     known = (
