@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,34 +12,55 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, binary_column, gram_codes, map_arrow, stash
+from .common import WordCodes, binary_column, gram_codes, map_arrow, slices, stash
 
-#: Words of the runs by which windows are routed; an anchor is the window's run of least code.
-RUN = 6
-#: An anchor with more distinct passages than this is resolved by grouped window keys instead of in one index.
+#: Words of the runs by which windows are routed, level by level; an anchor is the window's run of least code.
+RUNS = (6, 12)
+#: An anchor with more distinct passages than this is routed again by longer runs instead of going to one index.
 HOT = 2000
 #: Distinct passages per index, on average.
 SHARD = 4000
+#: Keys with more than this share of all rows, so at most as many keys as its inverse, are joined by a broadcast.
+HEAVY = 1 / 5000
+#: Every how many words the index keeps a place.
+SAMPLED = 16
+
+
+class BitPlane:
+    """Bits, 64 to a word, with the number of ones before each word: 1.5 bits for each bit."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, bool)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & low)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
 
 
 class WaveletMatrix:
-    """Symbols below 2**bits as one bit plane per level, with counts for constant-time rank over vectors of positions."""
+    """Symbols below 2**bits as one bit plane per level, with rank over vectors of positions."""
 
     def __init__(self, seq: np.ndarray, bits: int):
         self.levels = []
         for b in range(bits - 1, -1, -1):
-            plane = ((seq >> b) & 1).astype(bool)
-            ones = np.zeros(len(seq) + 1, np.int32)
-            np.cumsum(plane, out=ones[1:])
-            zeros = len(seq) - int(ones[-1])
-            self.levels.append((b, ones, zeros))
-            seq = np.concatenate([seq[~plane], seq[plane]])
+            ones = ((seq >> b) & 1).astype(bool)
+            self.levels.append((b, BitPlane(ones), len(seq) - int(np.count_nonzero(ones))))
+            seq = np.concatenate([seq[~ones], seq[ones]])
         every = np.arange(1 << bits)
-        self.start = self._down(every, np.zeros(len(every), np.int64))
+        self.start = self._down(every, np.zeros(len(every), np.int64)).astype(np.int32)
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for b, ones, zeros in self.levels:
-            n = ones[at]
+        for b, plane, zeros in self.levels:
+            n = plane.rank(at).astype(np.int64)
             at = np.where((symbol >> b) & 1, zeros + n, at - n)
         return at
 
@@ -46,20 +68,29 @@ class WaveletMatrix:
         """Occurrences of each symbol before each position."""
         return self._down(symbol, at) - self.start[symbol]
 
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and its occurrences before."""
+        symbol = np.zeros(len(at), np.int64)
+        for b, plane, zeros in self.levels:
+            one, n = plane.get(at).astype(np.int64), plane.rank(at).astype(np.int64)
+            symbol |= one << b
+            at = np.where(one == 1, zeros + n, at - n)
+        return symbol, at - self.start[symbol]
+
 
 class FMIndex:
-    """FM-index of word sequences for patterns of up to ``width`` words.
+    """Compressed FM-index of word sequences: BWT in a wavelet matrix, and every SAMPLED-th place of the text.
 
-    Suffixes are ordered by their first 32 or more words (prefix doubling); sequences end in a symbol of their own
-    kind (0), so no match runs across two of them.
+    With V distinct words it holds about 1.5 log2 V + 3.5 bits a word (some 3 bytes at 4000 passages), and 4 bytes for
+    each distinct word; neither text nor suffix array stay. Sequences end in a symbol of their own, so no match runs
+    across two.
     """
 
-    def __init__(self, seqs: list[np.ndarray], width: int):
-        text = np.concatenate([np.append(s + 1, 0) for s in seqs]).astype(np.int64)
-        n = len(text)
-        self.text, self.n = text, n
+    def __init__(self, seqs: list[np.ndarray]):
+        text = np.concatenate([*(np.append(s + 2, 1) for s in seqs), [0]]).astype(np.int64)
+        n = self.n = len(text)
         rank, step = text.copy(), 1
-        while True:
+        while True:  # prefix doubling until all suffixes differ
             nxt = np.zeros(n, np.int64)
             nxt[: n - step] = rank[step:] + 1
             key = rank * (int(nxt.max()) + 1) + nxt
@@ -68,34 +99,52 @@ class FMIndex:
             fresh[1:] = np.diff(key[order]) != 0
             rank[order] = np.cumsum(fresh) - 1
             step *= 2
-            if step >= width or rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1:
+                break
+        self.bwt = WaveletMatrix(text[order - 1], max(1, int(text.max()).bit_length()))
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))]).astype(np.int32)
+        kept = order % SAMPLED == 0
+        self.kept, self.places = BitPlane(kept), order[kept].astype(np.int32)
+
+    def matching(self, stream: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text at ``ends``: how many words before each end, up to ``most``, are found
+        at two places or more, and their suffix interval. Backward search for all ends at once; a match that has one
+        place left is not extended further."""
+        lo, hi, length = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64), np.zeros(len(ends), np.int64)
+        live = np.arange(len(ends))
+        for k in range(most):
+            s = stream[ends[live] - 1 - k]
+            a, b = self.before[s] + self.bwt.rank(s, lo[live]), self.before[s] + self.bwt.rank(s, hi[live])
+            two = b - a > 1
+            live = live[two]
+            if not len(live):
                 break
-        self.sa = order
-        self.bits = max(1, int(text.max()).bit_length())
-        self.bwt = WaveletMatrix(text[order - 1], self.bits)
-        counts = np.bincount(text, minlength=int(text.max()) + 2)
-        self.before = np.concatenate([[0], np.cumsum(counts)])
-
-    def intervals(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of text[at : at + width] by backward search over all patterns at once. A pattern whose
-        interval has one member is not extended further: it occurs nowhere else."""
-        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
-        live = np.arange(len(at))
-        for k in range(width - 1, -1, -1):
-            s = self.text[at[live] + k]
-            lo[live], hi[live] = self.before[s] + self.bwt.rank(s, lo[live]), self.before[s] + self.bwt.rank(s, hi[live])
-            live = live[hi[live] - lo[live] > 1]
+            lo[live], hi[live] = a[two], b[two]
+            length[live] += 1
+        return length, lo, hi
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places in the text of BWT rows: steps back to the next kept one."""
+        out, at, live = np.zeros(len(rows), np.int64), rows.astype(np.int64), np.arange(len(rows))
+        for back in range(SAMPLED):
+            held = self.kept.get(at[live]) == 1
+            done = live[held]
+            out[done] = self.places[self.kept.rank(at[done])] + back
+            live = live[~held]
             if not len(live):
                 break
-        return lo, hi
+            symbol, before = self.bwt.get(at[live])
+            at[live] = self.before[symbol] + before
+        return out
 
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
-def anchors(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive windows of one document with one anchor position, over the word codes of several documents.
+def anchors(codes: np.ndarray, doc: np.ndarray, width: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Consecutive windows of one document with one anchor position, over the word codes of several documents; an
+    anchor has ``run`` words.
 
     Returns (first window, end window, code of the anchor run, code of all words of the passage). ``doc`` gives each
     word's document; windows across two documents are left out.
@@ -103,8 +152,8 @@ def anchors(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray,
     z = np.empty(0, np.int64)
     if len(codes) < width:
         return z, z, z.astype(np.uint64), z.astype(np.uint64)
-    least = gram_codes(codes, RUN)
-    span = width - RUN + 1  # runs in a window
+    least = gram_codes(codes, run)
+    span = width - run + 1  # runs in a window
     pos, have = np.arange(len(least), dtype=np.int32), 1
     while have < span:
         by = min(have, span - have)
@@ -129,37 +178,39 @@ def anchors(codes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def _first_seen(width: int):
+    none = pd.DataFrame({"doc_id": [], "th": [], "lo": [], "hi": []}).astype({"doc_id": "int64", "th": "int32", "lo": "int64", "hi": "int64"})
+
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         """Distinct passages of one shard. Out: word intervals of each passage's first occurrence that start earlier elsewhere."""
         vocab: dict[bytes, int] = {}
         seqs = [np.array([vocab.setdefault(w, len(vocab)) for w in p.split(b" ")], np.int64) for p in pdf["passage"]]
-        index = FMIndex(seqs, width)
+        index = FMIndex(seqs)
+        # The shard's passages, each of which stands for all its copies, are streamed against the index.
         length = np.array([len(s) for s in seqs])
         head = np.concatenate([[0], np.cumsum(length + 1)[:-1]])
         many = length - width + 1
         own = np.repeat(np.arange(len(seqs)), many)
         off = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = head[own] + off
-        lo, hi = index.intervals(at, width)
-        doc, start = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()
-        place = np.lexsort((start[own] + off, doc[own]))
-        d, s = doc[own][place], (start[own] + off)[place]
-        step = np.concatenate([[0], np.cumsum((np.diff(d) != 0) | (np.diff(s) != 0))])
-        age = np.empty(len(at), np.int64)  # equal for the same place in the same document
-        age[place] = step
-        by_row = np.full(index.n, np.iinfo(np.int64).max)
-        inverse = np.empty(index.n, np.int64)
-        inverse[index.sa] = np.arange(index.n)
-        by_row[inverse[at]] = age
-        twice = np.flatnonzero(hi - lo > 1)
+        matched, lo, hi = index.matching(np.concatenate([np.append(s + 2, 1) for s in seqs]), head[own] + off + width, width)
+        twice = np.flatnonzero(matched == width)
+        if not len(twice):
+            return none
+        # Intervals of equal length are equal or apart, so all their rows together are at most the text's words.
         rows, where = np.unique(lo[twice], return_inverse=True)
-        ends = np.zeros(len(rows), np.int64)
-        ends[where] = hi[twice]
-        bounds = np.stack([rows, ends], 1).ravel()
-        low = np.minimum.reduceat(np.append(by_row, np.iinfo(np.int64).max), bounds)[::2] if len(rows) else np.empty(0, np.int64)
-        late = twice[age[twice] > low[where]]
+        size = np.zeros(len(rows), np.int64)
+        size[where] = hi[twice] - rows[where]
+        first_row = np.cumsum(size) - size
+        found = index.locate(np.repeat(rows - first_row, size) + np.arange(size.sum()))
+        seq = np.searchsorted(head, found, "right") - 1
+        doc, start = pdf["doc_id"].to_numpy(), pdf["start"].to_numpy()
+        d, s = np.concatenate([doc[seq], doc[own[twice]]]), np.concatenate([start[seq] + found - head[seq], (start[own] + off)[twice]])
+        place = np.lexsort((s, d))
+        age = np.empty(len(d), np.int64)  # equal for the same place in the same document
+        age[place] = np.concatenate([[0], np.cumsum((np.diff(d[place]) != 0) | (np.diff(s[place]) != 0))])
+        least = np.minimum.reduceat(age[: len(found)], first_row)
+        late = twice[age[len(found) :] > least[where]]
         if not len(late):
-            return pd.DataFrame({"doc_id": [], "th": [], "lo": [], "hi": []}).astype({"doc_id": "int64", "th": "int32", "lo": "int64", "hi": "int64"})
+            return none
         brk = np.flatnonzero((np.diff(own[late]) != 0) | (np.diff(off[late]) != 1)) + 1
         a, b = late[np.concatenate([[0], brk])], late[np.concatenate([brk - 1, [len(late) - 1]])]
         return pd.DataFrame({"doc_id": doc[own[a]], "th": pdf["th"].to_numpy()[own[a]], "lo": start[own[a]] + off[a], "hi": start[own[b]] + off[b] + width})
@@ -167,30 +218,55 @@ def _first_seen(width: int):
     return shard
 
 
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keys``, whose column c tells how many rows a key has. Keys with more than HEAVY of the
+    ``total`` rows are so few that they are broadcast; no task of the shuffle of the others meets more than that share."""
+    most = max(1000, int(total * HEAVY))
+    heavy = F.broadcast(keys.where(F.col("c") > most))
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(keys.where(F.col("c") <= most), on))
+
+
+def routed(found: DataFrame, width: int, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(first, copies) of passages (anchor, passage, doc_id, th, start, stop): the first occurrence of each passage whose
+    anchor occurs again, with ``carried``; and the word intervals of all later occurrences, which go whole."""
+    total = found.count()
+    again = stash(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    again = stash(keyed_join(found, again, ["anchor"], total).drop("c"), "again")
+    total = again.count()
+    first = again.groupBy("anchor", "passage").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "th", "stop", *carried)).alias("f"))
+    first = stash(first.select("anchor", "passage", "c", "f.*"), "first")
+    later = first.where("c > 1").select("anchor", "passage", "c", F.struct("doc_id", "start").alias("f"))
+    copies = keyed_join(again.drop(*carried), later, ["anchor", "passage"], total).where(F.struct("doc_id", "start") > F.col("f"))
+    return first.drop("c"), copies.select("doc_id", "th", F.col("start").cast("long").alias("lo"), (F.col("stop") + width - 1).cast("long").alias("hi"))
+
+
 def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word covered by a window of ``width`` words whose sequence also starts earlier.
 
     Earlier: smaller doc_id, or same document and earlier start; windows are judged on the input. Returns doc_id,
     n_words, n_removed, kept_sha256, kept (the text that is left, words joined by one space).
 
-    1. A window is routed by its anchor, the leftmost RUN-word run of least code in it, so equal windows share a
-       route. Consecutive windows with one anchor form a passage, which holds no window twice. Anchors that occur once are dropped.
-    2. Equal passages (by a 64-bit code of all their words) collapse in a grouped minimum: all but the first occurrence
-       go whole.
-    3. Distinct passages meet in shards of anchors. A shard builds an FM-index (BWT in a wavelet matrix), runs
-       backward search for its windows and reports those that match an earlier place. An anchor with more than HOT
-       distinct passages is not put in one index: its windows are compared by grouped 128-bit keys.
-    4. Intervals go back to their documents.
+    1. A window is routed by its anchor, the leftmost run of RUNS[0] words of least code in it, so equal windows share
+       a route. Consecutive windows with one anchor form a passage, which holds no window twice. Anchors that occur
+       once are dropped.
+    2. Equal passages (by a 64-bit code of all their words) have the same matches, so one of them is streamed for all:
+       they collapse in a grouped minimum, and all but the first occurrence go whole.
+    3. Distinct passages meet in shards of anchors. A shard builds a compressed FM-index and streams its passages
+       against it: backward search gives their matching statistics, and windows that match an earlier place are reported.
+    4. The passages of an anchor with more than HOT distinct ones are routed again, by runs of the next length of RUNS
+       and at last of ``width`` words (there equal anchors are equal windows), so no index grows with a common phrase.
+    5. Intervals go back to their documents.
 
     Defined cases: null or empty text has no words and an empty kept text; null ids keep all their words; rows that
     repeat an id with equal text share their places, so neither is earlier; with other text they are told apart by a
-    text hash, and the places of both count. Extra columns are ignored.
+    32-bit text hash, and the places of both count. Extra columns are ignored; an empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(F.col(text_col)).alias("th"))
+    runs = [*(r for r in RUNS if r < width), width]
 
     def find(batches):
         codes = WordCodes()
-        for b in batches:
+        for b in slices(batches):
             ids, hashes, texts = b.column(0), b.column(2), binary_column(b, "text")
             at = 0
             while at < len(texts):
@@ -202,7 +278,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
                 length = np.array([len(c) for c in many])
                 begin = np.cumsum(length) - length
                 doc = np.repeat(np.arange(len(many)), length)
-                lo, hi, anchor, passage = anchors(np.concatenate(many), doc, width)
+                lo, hi, anchor, passage = anchors(np.concatenate(many), doc, width, runs[0])
                 own = doc[lo]
                 take = pa.array(held + own)
                 yield pa.record_batch(
@@ -211,14 +287,8 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
                 )
 
     found = stash(base.where("doc_id IS NOT NULL AND length(text) > 0").mapInArrow(find, "anchor long, passage long, doc_id long, th int, start int, stop int"), "runs")
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    again = stash(found.join(again, "anchor"), "again")
-    first = stash(again.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "start", "th", "stop")).alias("f")).select("anchor", "passage", "f.*"), "first")
-    copies = (
-        again.join(first.select("anchor", "passage", F.struct("doc_id", "start").alias("f")), ["anchor", "passage"])
-        .where(F.struct("doc_id", "start") > F.col("f"))
-        .select("doc_id", "th", F.col("start").cast("long").alias("lo"), (F.col("stop") + width - 1).cast("long").alias("hi"))
-    )
+    first, copies = routed(found, width)
+    gone = [copies]
 
     def pack(batch):
         z = zstandard.ZstdCompressor(level=1)
@@ -240,30 +310,45 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     names, kinds = ["shard", "passage", "doc_id", "th", "start"], [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-    load = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    shards = max(1, -(-first.count() // SHARD))
-    shard = F.when(F.col("c") > HOT, -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("int")
-    spots = first.join(load, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct(shard.alias("shard"), "start", "stop")).alias("spots"))
+    def shards_of(first: DataFrame) -> DataFrame:
+        """``first`` with its shard: -1 for anchors that are routed again; anchors with one passage are left out."""
+        load = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+        many = max(1, -(-first.count() // SHARD))
+        shard = F.when(F.col("c") > HOT, -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(many))).cast("int")
+        return keyed_join(first, load, ["anchor"], first.count()).withColumn("shard", shard)
+
+    spots = shards_of(first).groupBy("doc_id", "th").agg(F.collect_list(F.struct("shard", "start", "stop")).alias("spots"))
     distinct = stash(map_arrow(packed.join(spots, ["doc_id", "th"]).select("doc_id", "th", "z", "spots"), cut, "shard int, passage binary, doc_id long, th int, start long"), "passages")
     out = "doc_id long, th int, lo long, hi long"
-    searched = distinct.where("shard >= 0").groupBy("shard").applyInPandas(_first_seen(width), out)
-
-    def windows(batch):
-        key, pick, at = [], [], []
-        for i, (p, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            w = p.split(b" ")
-            for j in range(len(w) - width + 1):
-                key.append(hashlib.blake2b(b" ".join(w[j : j + width]), digest_size=16).digest())
-                pick.append(i)
-                at.append(s + j)
-        take = pa.array(pick, pa.int64())
-        return pa.record_batch([pa.array(key, pa.binary()), batch.column(1).take(take), batch.column(2).take(take), pa.array(at, pa.int64())], ["key", "doc_id", "th", "start"])
-
-    warm = distinct.where("shard < 0").select("passage", "doc_id", "th", "start")
-    each = map_arrow(warm, windows, "key binary, doc_id long, th int, start long")
-    seen = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    keyed = each.join(seen, "key").where(F.struct("doc_id", "start") > F.col("f")).select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
-    gone = stash(copies.union(searched).union(keyed).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
+    gone.append(distinct.where("shard >= 0").groupBy("shard").applyInPandas(_first_seen(width), out))
+
+    def again_by(run: int):
+        codes = WordCodes()
+
+        def each(batch):
+            rows: list[list] = [[] for _ in range(7)]
+            for text, d, th, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.split(b" ")
+                lo, hi, anchor, passage = anchors(codes.codes(words), np.zeros(len(words), np.int64), width, run)
+                for a, z, k, c in zip(lo.tolist(), hi.tolist(), anchor.view(np.int64).tolist(), passage.view(np.int64).tolist(), strict=True):
+                    for held, v in zip(rows, (k, c, d, th, start + a, start + z, b" ".join(words[a : z + width - 1])), strict=True):
+                        held.append(v)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(rows, types, strict=True)], ["anchor", "passage", "doc_id", "th", "start", "stop", "words"])
+
+        return each
+
+    for run in runs[1:]:
+        hot = distinct.where("shard < 0").select("passage", "doc_id", "th", "start")
+        if hot.isEmpty():
+            break
+        found = stash(map_arrow(hot, again_by(run), "anchor long, passage long, doc_id long, th int, start long, stop long, words binary"), "runs")
+        first, copies = routed(found, width, "words")
+        gone.append(copies)
+        if run < width:
+            distinct = stash(shards_of(first).select("shard", F.col("words").alias("passage"), "doc_id", "th", "start"), "passages")
+            gone.append(distinct.where("shard >= 0").groupBy("shard").applyInPandas(_first_seen(width), out))
+    gone = stash(reduce(DataFrame.unionByName, gone).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
 
     def keep(batch):
         un = zstandard.ZstdDecompressor()
