@@ -164,21 +164,28 @@ class BoostedTrees:
 
 
 def labelled_samples(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int, str, int]]:
-    """(text, start, end, kind, label): personal numbers and handles, and look-alikes, in neutral or telling contexts."""
+    """(text, start, end, kind, label): personal numbers and handles, and look-alikes, in neutral or telling contexts.
+    Card numbers pass Luhn; numbers of their form that do not are look-alikes."""
     r = random.Random(seed)
     dig = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    def card(good: bool) -> str:
+        while luhn(d := dig(16)) != good:
+            pass
+        mark = r.choice(["", "", " ", "-"])
+        return mark.join(d[i : i + 4] for i in range(0, 16, 4))
+
     word = lambda: "".join(r.choice("aeioustrnlmdh") for _ in range(r.randint(2, 8)))
 
     def personal():
         return r.choice([
-            lambda: dig(16), lambda: " ".join(dig(4) for _ in range(4)), lambda: "-".join(dig(4) for _ in range(4)), lambda: f"({dig(3)}) {dig(3)}-{dig(4)}",
+            lambda: card(True), lambda: card(True), lambda: f"({dig(3)}) {dig(3)}-{dig(4)}",
             lambda: f"{dig(3)}-{dig(3)}-{dig(4)}", lambda: f"{dig(3)}-{dig(2)}-{dig(4)}", lambda: f"{word()}.{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.org",
             lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)),
         ])()
 
     def other():
         return r.choice([
-            lambda: dig(r.randint(7, 12)), lambda: f"20{dig(2)}-{dig(2)}-{dig(2)}", lambda: f"{dig(2)}.{dig(2)}.20{dig(2)}", lambda: f"{dig(3)}.{dig(3)}.{dig(3)}", lambda: f"{dig(1)}.{dig(7)}",
+            lambda: card(False), lambda: card(False), lambda: dig(r.randint(7, 12)), lambda: f"20{dig(2)}-{dig(2)}-{dig(2)}", lambda: f"{dig(2)}.{dig(2)}.20{dig(2)}", lambda: f"{dig(3)}.{dig(3)}.{dig(3)}", lambda: f"{dig(1)}.{dig(7)}",
             lambda: dig(r.randint(17, 19)), lambda: f"{dig(2)} {dig(2)} {dig(2)} {dig(2)}", lambda: f"{dig(3)}-{dig(1)}-{dig(3)}-{dig(5)}-{dig(1)}", lambda: f"{dig(2)}:{dig(2)}:{dig(2)}:{dig(2)}", lambda: f"20{dig(2)} 20{dig(2)} 20{dig(2)}",
         ])()
 

@@ -94,7 +94,7 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         .agg(top(F.collect_list("score")).alias("s"))
         .groupBy("query_id")
         .agg(top(F.flatten(F.collect_list("s"))).alias("s"))
-        .select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).alias("cut"))
+        .select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).cast("string").alias("cut"))  # text: pandas would round large numbers beside nulls
     )
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +104,7 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
             cuts = q["cut"].tolist()
             for i in range(len(qs)):
                 ok = vs != qs[i]
-                if cuts[i] is not None and cuts[i] == cuts[i]:
+                if isinstance(cuts[i], str):
                     c = int(cuts[i])
                     ok &= (p1[i] >= -(-c // 2)) | (p2[i] >= -(-c // 2))
                 else:
@@ -118,7 +118,7 @@ def exact_top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     sent = queries.join(cut, "vec_id", "left").select("qb", each, F.lit(True).alias("is_q"), "vec_id", "v", "cut")
-    found = blocks.withColumn("cut", F.lit(None).cast("long")).unionByName(sent).groupBy("qb", "vb").applyInPandas(resolve, "query_id long, vec_id long, score long")
+    found = blocks.withColumn("cut", F.lit(None).cast("string")).unionByName(sent).groupBy("qb", "vb").applyInPandas(resolve, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -127,6 +127,7 @@ def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+#: The same rows where ids are unique; where one repeats, SQL takes all its rows and exact_top_k the smallest vector.
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

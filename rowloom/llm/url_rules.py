@@ -10,8 +10,8 @@ from .common import stash
 
 #: (verdict, rule): host, then path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Mined rules that are broadcast for matching; more of them are joined by a shuffle on their key token.
-MOST_SENT = 50_000
+#: Bytes of rules, or of decided token sets, that are broadcast for matching; more of them are joined by a shuffle.
+MOST_SENT = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +44,12 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, words))
 
 
+def sent(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` to be broadcast if the texts of its array ``columns`` (and 100 bytes a row) are at most MOST_SENT bytes."""
+    size = df.agg(F.sum(sum((F.length(F.array_join(c, " ")) for c in columns), F.lit(100)))).first()[0] or 0
+    return F.broadcast(df) if size <= MOST_SENT else df
+
+
 def keyed(rules: DataFrame) -> DataFrame:
     """Rules with ``token``: the one of their antecedent that the fewest rules share, so that no token has most rules."""
     tokens = rules.select("antecedent", F.explode("antecedent").alias("token"))
@@ -86,7 +92,8 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     Pages under a written rule are the labels. Token sets of the other pages are matched by inverted index: mined
     antecedents by their least shared token, a rule fires when all its tokens are met, the most confident (then best
-    supported, shortest, first in order) one decides. Where none fires the verdict is ``default``.
+    supported, shortest, first in order) one decides. Where none fires the verdict is ``default``. The written rules are
+    the only labels there are for pages, so mined rules carry their verdicts over to pages of like hosts and paths.
 
     Defined cases: null urls or urls without '://' have empty host and path, no rule and the default verdict; null ids
     and repeated rows come back as they are; without any labelled page nothing is mined; an empty table gives an
@@ -101,9 +108,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     if mined is None:
         chosen = base.where("false").select("tokens", F.lit("").alias("says"), F.array(F.lit("")).alias("mined"))
     else:
-        index = stash(keyed(mined), "index")
-        if index.count() <= MOST_SENT:
-            index = F.broadcast(index)
+        index = sent(stash(keyed(mined), "index"), "antecedent")
         open_sets = base.where("ruled IS NULL").select("tokens").distinct()
         rank = F.struct(-F.col("confidence"), -F.col("support"), F.size("antecedent"), "antecedent", F.col("verdict"))
         chosen = (
@@ -114,6 +119,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
             .agg(F.min(rank).alias("first"))
             .select("tokens", F.col("first.verdict").alias("says"), F.col("first.antecedent").alias("mined"))
         )
+        chosen = sent(stash(chosen, "decided"), "tokens", "mined")
     return base.join(chosen, (base["tokens"] == chosen["tokens"]) & base["ruled"].isNull(), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "says", F.lit(default)).alias("verdict"), F.when(F.col("ruled").isNull(), F.array_join("mined", " ")).alias("mined")
     )
