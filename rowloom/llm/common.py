@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -18,6 +19,8 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
 #: Words whose codes a task remembers (about 10 MB), and bytes of text that it holds as Python objects at a time.
 WORD_CACHE, HELD_BYTES = 50_000, 1 << 20
+#: Keys with more than this share of all rows, so at most as many keys as its inverse, are joined by a broadcast.
+HEAVY = 1 / 5000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,6 +54,11 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """At the end of a loop of many small jobs: let the driver drop their plans, so that its heap shrinks again."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table of a stash() that nothing reads any more."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
@@ -89,6 +97,14 @@ def give_back() -> None:
         pass
 
 
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keys``, whose column c tells how many rows a key has. Keys with more than HEAVY of the
+    ``total`` rows are so few that they are broadcast; no task of the shuffle of the others meets more than that share."""
+    most = max(1000, int(total * HEAVY))
+    heavy = F.broadcast(keys.where(F.col("c") > most))
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(keys.where(F.col("c") <= most), on))
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """64-bit finalizer over a vector."""
     h = (h ^ (h >> _S33)) * _M1

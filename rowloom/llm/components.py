@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, keyed_join, stash, tidy
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,10 +24,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before, old = e.count(), None
     for _ in range(rounds):
         if before == 0 or old is not None and e.join(old, ["u", "v"], "left_anti").isEmpty():
+            tidy(e.sparkSession)
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()
+        # Large star: every edge's upper end goes to the least neighbour of its lower end.
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = keyed_join(e.select(F.col("u").alias("w"), F.col("v").alias("u")), low, ["u"], before).select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")

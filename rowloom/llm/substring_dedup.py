@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, binary_column, gram_codes, map_arrow, slices, stash
+from .common import WordCodes, binary_column, gram_codes, keyed_join, map_arrow, slices, stash
 
 #: Words of the runs by which windows are routed, level by level; an anchor is the window's run of least code.
 RUNS = (6, 12)
@@ -20,8 +20,6 @@ RUNS = (6, 12)
 HOT = 2000
 #: Distinct passages per index, on average.
 SHARD = 4000
-#: Keys with more than this share of all rows, so at most as many keys as its inverse, are joined by a broadcast.
-HEAVY = 1 / 5000
 #: Every how many words the index keeps a place.
 SAMPLED = 16
 
@@ -218,14 +216,6 @@ def _first_seen(width: int):
     return shard
 
 
-def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``rows`` joined with ``keys``, whose column c tells how many rows a key has. Keys with more than HEAVY of the
-    ``total`` rows are so few that they are broadcast; no task of the shuffle of the others meets more than that share."""
-    most = max(1000, int(total * HEAVY))
-    heavy = F.broadcast(keys.where(F.col("c") > most))
-    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(keys.where(F.col("c") <= most), on))
-
-
 def routed(found: DataFrame, width: int, *carried: str) -> tuple[DataFrame, DataFrame]:
     """(first, copies) of passages (anchor, passage, doc_id, th, start, stop): the first occurrence of each passage whose
     anchor occurs again, with ``carried``; and the word intervals of all later occurrences, which go whole."""

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -22,23 +23,23 @@ def make_rows():
     item = words(a, 20)
     rows += [(300, words(a, 30) + item + words(a, 30), "en"), (301, words(a, 9000), "en"), (302, [*words(b, 40), 'token="abcdefgh12"'], "de")]
     rows += [(None, rows[1][1], "en"), (None, words(b, 70), "de"), rows[20], rows[20]]
+    near = list(rows[21][1])
+    near[3] = "ouou"
+    rows += [(22, words(a, 60), "en"), (21, near, rows[21][2]), (500, near, rows[21][2])]  # one id, other texts: apart and linked
     return [(i, " ".join(w), x) for i, w, x in rows] + [(400, None, "en"), (401, "", None), (402, "12 34 !!", "de")], " ".join(item)
 
 
-def kept_near(rows):
-    """Rows whose id is the least of its component, one per id; null ids stay."""
+def kept_near(rows, hash_of):
+    """Of linked rows the one of least id, then least text hash; rows with a null id stay."""
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    sets = {i: grams(t) for i, t, _ in rows if i is not None}
-    low = {i: i for i in sets}
-    for _ in sets:
-        for x in sets:
-            for y in sets:
-                if x < y and low[x] != low[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
-                    low[x] = low[y] = min(low[x], low[y])
-        if not any(low[low[x]] != low[x] for x in low):
-            break
-    seen = {i: (i, t, x) for i, t, x in rows if i is not None and low[i] == i}
-    return list(seen.values()) + [r for r in rows if r[0] is None]
+    docs = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hash_of[r[1]]))
+    sets, group = [grams(t) for _, t, _ in docs], list(range(len(docs)))
+    for x in range(len(docs)):
+        for y in range(x):
+            if group[x] != group[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                old, new = max(group[x], group[y]), min(group[x], group[y])
+                group = [new if g == old else g for g in group]
+    return [docs[i] for i in sorted(set(group))] + [r for r in rows if r[0] is None]
 
 
 @pytest.mark.parametrize("sent", [corpus_pipeline.MOST_SENT, 0])
@@ -48,19 +49,23 @@ def test_pipeline_against_plain_python(spark, tmp_path, monkeypatch, sent):
 
     monkeypatch.setattr(corpus_pipeline, "MOST_SENT", sent)
     rows, item = make_rows()
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clashing = {n: F.lit(7) for n in ("score", "lang_pred", "leaks", "spans", "n_hex", "n", "gone_id", "text_hash")}
+    hash_of = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    frame.withColumns(clashing).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     tell = lambda df: sorted(((r.doc_id, r.text, r.lang) for r in df.collect()), key=key)
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
-    steps = [("language", lettered), ("near_duplicates", kept_near(lettered))]
+    steps = [("language", lettered), ("near_duplicates", kept_near(lettered, hash_of))]
     steps.append(("decontamination", [r for r in steps[-1][1] if item not in r[1]]))
     steps.append(("secrets", [r for r in steps[-1][1] if "token=" not in r[1]]))
     for name, want in steps:
         docs = stages[name](spark, docs, str(tmp_path)).cache()
         assert tell(docs) == sorted(want, key=key), name
+        assert set(docs.columns) == {"doc_id", "text", "lang", *clashing} and docs.where(" OR ".join(f"`{n}` <> 7" for n in clashing)).isEmpty()
     assert [len(w) for _, w in steps] == sorted({len(w) for _, w in steps}, reverse=True)
 
     coder, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), []
@@ -77,3 +82,9 @@ def test_pipeline_against_plain_python(spark, tmp_path, monkeypatch, sent):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 2048
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
