@@ -75,8 +75,13 @@ class ContextTrees:
         return g.astype(np.int64) if k <= 2 else np.searchsorted(self.keys[k], g)
 
     def bits(self, parts: list[bytes]) -> np.ndarray:
-        """Code length of each part under each language; its first three bytes are context only."""
-        raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        """Code length of each part under each language; its first three bytes are context only, so a part of up to
+        three bytes costs nothing."""
+        total = np.zeros((len(parts), len(self.langs)))
+        some = np.array([i for i, t in enumerate(parts) if len(t) > 3], np.int64)
+        if not len(some):
+            return total
+        raw = np.frombuffer(b"".join(parts[i] for i in some), np.uint8).astype(np.uint32)
         g = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
         at = self.slots[self._slot(g)]
         cost = self.cost[4][at]
@@ -88,13 +93,10 @@ class ContextTrees:
             bad = self.keys[4][at] != m
             miss, m = miss[bad], m[bad]
             cost[miss] = self._shorter(m)
-        length = np.array([len(t) - 3 for t in parts])
-        total = np.zeros((len(parts), len(self.langs)))
+        length = np.array([len(parts[i]) - 3 for i in some])
         start = np.cumsum(length + 3) - length - 3
-        some = np.flatnonzero(length)
-        if len(some):
-            bounds = np.stack([start[some], start[some] + length[some]], 1).ravel()
-            total[some] = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]), cost.dtype)]).astype(np.float64), bounds)[::2]
+        bounds = np.stack([start, start + length], 1).ravel()
+        total[some] = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]), cost.dtype)]).astype(np.float64), bounds)[::2]
         return total
 
     def _shorter(self, m: np.ndarray) -> np.ndarray:

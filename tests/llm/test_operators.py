@@ -372,8 +372,8 @@ def test_language(spark):
     assert len(held) > 50 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98 and all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in language.identify(df, None).collect()} == {"und"}
     text = "the ring schein"
-    bits = model.bits([b"", text.encode()])
-    assert not bits[0].any()
+    bits = model.bits([b"", b"   " + text.encode(), b"abc"])
+    assert not bits[0].any() and not bits[2].any() and not model.bits([b"", b"  "]).any()
     # code lengths against a plain walk through the context trees
     grams = {x: {} for x in model.langs}
     for i, t, x, _ in rows:
