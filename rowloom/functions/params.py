@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
 
@@ -160,6 +161,40 @@ def filter_items(node: dict, ctx: Context) -> list[tuple[str, str, Any]]:
     return out
 
 
+def typed_filters(node: dict, ctx: Context) -> list[tuple[str, str, Any]]:
+    """filter_items with the values themselves instead of their text: ``format_as`` only tells integers."""
+    bare = lambda v: {a: b for a, b in v.items() if a != "format_as"} if isinstance(v, dict) else v
+    whole = {k for k, i in node["items"].items() if isinstance(i["value"], dict) and i["value"].get("format_as") in ("INT", "INT_LIST")}
+    items = filter_items({"items": {k: {**i, "value": bare(i["value"])} for k, i in node["items"].items()}}, ctx)
+    number = lambda v: [_whole(x) for x in v] if isinstance(v, (list, tuple)) else _whole(v)
+    return [(k, o, number(v) if k in whole else v) for k, o, v in items]
+
+
+@dataclass(frozen=True)
+class BoundQuery:
+    """Query text with named parameter markers, and their values."""
+
+    text: str
+    args: dict[str, Any] = field(default_factory=dict)
+
+
+def bind(items: list[tuple[str, str, Any]]) -> BoundQuery:
+    """Conditions joined by AND, every value behind a marker, so that no value is read as SQL. A list has a marker for
+    each of its values; none of them hold for IN an empty list, all for NOT IN."""
+    parts, args = [], {}
+    for i, (key, operator, value) in enumerate(items):
+        if not isinstance(value, (list, tuple)):
+            args[f"p{i}"] = value
+            parts.append(f"{key} {operator} :p{i}")
+        elif value:
+            names = {f"p{i}_{j}": x for j, x in enumerate(value)}
+            args |= names
+            parts.append(f"{key} {operator} ({', '.join(f':{n}' for n in names)})")
+        else:
+            parts.append("FALSE" if operator.upper() == "IN" else "TRUE")
+    return BoundQuery(" AND ".join(parts), args)
+
+
 @register_node("filter")
 def _filter(node, ctx):
     """Filters as dicts with the key, operator and value names of ``schema``; as JSON text with json_dumps."""
@@ -175,12 +210,17 @@ def _sql_query(node, ctx):
 
 @register_node("sql_filter")
 def _sql_filter(node, ctx):
+    """Conditions as text, or as a BoundQuery with ``bind``."""
+    if node.get("bind"):
+        return bind(typed_filters(node, ctx))
     return " AND ".join(f"{k} {o} {v}" for k, o, v in filter_items(node, ctx))
 
 
 @register_node("query_builder")
 def _query_builder(node, ctx):
     query, where = ctx.value(node["query"]).strip(), ctx.value(node["filters"]) if node.get("filters") else ""
+    if isinstance(where, BoundQuery):
+        return BoundQuery(f"{query} WHERE {where.text}" if where.text else query, where.args)
     return f"{query} WHERE {where}" if where else query
 
 

@@ -88,4 +88,6 @@ def predicate(when: dict, scope, field: str | None) -> Column | None:
         raise KeyError("a condition needs a field")
     if not scope.has(name):
         return None
-    return OPERATORS[ops[0]](scope.col(name), scope.type(name), when[ops[0]])
+    test = OPERATORS[ops[0]](scope.col(name), scope.type(name), when[ops[0]])
+    there = scope.present(name)
+    return test if there is None else there & test

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .predicates import predicate, truthy
-
-# strptime and strftime letters and the Java patterns that mean the same.
-_JAVA = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "z": "xx", "%": "%"}
-#: Shapes tried, in this order, for dates without a declared input format.
-DATE_SHAPES = ("yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
-
+from .dates import any_date, read_date, write_date
+from .predicates import is_in, predicate, same_kind, truthy
 
 @dataclass(frozen=True)
 class Options:
@@ -26,33 +22,20 @@ class Options:
     intended: nested ``then`` transforms see the whole row (else only the value the condition looked at).
     exact: round as decimal text does (half to even on the binary value), by a pandas UDF.
     text_of_null: ``string`` gives 'None' for null. on_error: 'fail', or 'null' for values that do not convert.
+    reasons: compile to why a value does not convert (null where it does) instead of the value itself.
     """
 
     intended: bool = False
     exact: bool = False
     text_of_null: bool = False
     on_error: str = "fail"
-
-
-def java_pattern(fmt: str) -> str:
-    out, i, quoted = [], 0, ""
-    while i < len(fmt):
-        if fmt[i] == "%" and i + 1 < len(fmt):
-            if fmt[i + 1] not in _JAVA:
-                raise ValueError(f"date format %{fmt[i + 1]} is not supported")
-            out.append((f"'{quoted}'" if quoted else "") + _JAVA[fmt[i + 1]])
-            quoted, i = "", i + 2
-        elif fmt[i].isalpha():
-            quoted, i = quoted + fmt[i], i + 1
-        else:
-            out.append((f"'{quoted}'" if quoted else "") + ("''" if fmt[i] == "'" else fmt[i]))
-            quoted, i = "", i + 1
-    return "".join(out) + (f"'{quoted}'" if quoted else "")
+    reasons: bool = False
 
 
 def number(c: Column, t: T.DataType, o: Options, to: str = "double") -> Column:
     if isinstance(t, T.StringType):
         c = F.trim(c)
+        c = F.when(F.contains(c, F.lit("_")), F.regexp_replace(c, r"(?<=\d)_(?=\d)", "")).otherwise(c)
     return c.try_cast(to) if o.on_error == "null" else c.cast(to)
 
 
@@ -64,39 +47,68 @@ def rounded(c: Column, digits: int, o: Options) -> Column:
 
 
 def date(c: Column, params: dict, o: Options) -> Column:
-    given = params["format"]["input"]
-    value = F.try_to_timestamp(c, F.lit(java_pattern(given))) if o.on_error == "null" else F.to_timestamp(c, java_pattern(given))
-    if "%y" in given:  # two-digit years 69-99 are of the last century
-        value = F.when(F.year(value) >= 2069, value - F.expr("INTERVAL 100 YEAR")).otherwise(value)
-    return F.date_format(value, java_pattern(params["format"]["output"]))
+    wall, offset = read_date(c, params["format"]["input"], o.on_error != "null")
+    return write_date(wall, params["format"]["output"], offset)
 
 
 def loose_date(c: Column, params: dict, o: Options) -> Column:
-    """The date as written: a zone suffix is dropped, not applied."""
-    tries = [c.try_cast("timestamp_ntz"), *(F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in DATE_SHAPES)]
-    value = F.coalesce(*tries)
+    """The date as written: a zone is dropped, not applied."""
+    value = any_date(c)
     if params.get("fuzzy"):
-        value = F.coalesce(value, fuzzy_date(c).try_cast("timestamp_ntz"))
+        value = F.coalesce(value, fuzzy_date(c).try_cast("date"))
     if o.on_error != "null":
-        value = F.when(c.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("timestamp_ntz")).otherwise(value)
-    return F.date_format(value, java_pattern(params["format"]["output"]))
+        value = F.when(c.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("not a date: "), c)).cast("date")).otherwise(value)
+    return write_date(value.cast("timestamp_ntz"), params["format"]["output"])
+
+
+def alike(values: list[Any]) -> list[Any]:
+    """Results of one field, brought to one type: numbers to floats where one is a float, text and anything else to text."""
+    kinds = {type(v) for v in values if v is not None}
+    if len(kinds) <= 1:
+        return values
+    if kinds <= {int, float}:
+        return [v if v is None else float(v) for v in values]
+    return [v if v is None else str(v) for v in values]
+
+
+def mapping_of(params: dict) -> dict:
+    return params.get("mappings", params.get("mapping"))
+
+
+def is_strict(params: dict) -> bool:
+    return "on_error" not in params and "default" not in params
+
+
+def enum_miss(c: Column, params: dict, o: Options, rest: Any) -> Column:
+    """What a value without a mapping gives."""
+    if is_strict(params) and o.on_error != "null":
+        return F.raise_error(F.concat(F.lit("no mapping for "), F.coalesce(c.cast("string"), F.lit("null"))))
+    return F.lit(rest)
 
 
 def enum(c: Column, t: T.DataType, params: dict, o: Options) -> Column:
-    table = params.get("mappings", params.get("mapping"))
-    strict = "on_error" not in params and "default" not in params
-    rest = F.raise_error(F.concat(F.lit("no mapping for "), F.coalesce(c.cast("string"), F.lit("null")))) if strict and o.on_error != "null" else F.lit(params.get("on_error", params.get("default")))
-    plain = {k: v for k, v in table.items() if k is not None}
+    """A value's mapping. Text keys meet text only, numbers and booleans each other (1, 1.0 and true are one key)."""
+    if "joined" in params:
+        value, hit = params["joined"]
+        return F.when(hit, value).otherwise(enum_miss(c, params, o, params.get("on_error", params.get("default"))))
+    table = mapping_of(params)
+    keys, rest = list(table), params.get("on_error", params.get("default"))
+    *results, rest = alike([*table.values(), rest])
+    missed = enum_miss(c, params, o, rest)
+    plain = {k: v for k, v in zip(keys, results, strict=True) if k is not None and same_kind(k, t) and isinstance(t, T.AtomicType)}
     if len(plain) > 50:
-        keys = F.create_map(*[x for k, v in plain.items() for x in (F.lit(k), F.lit(v))])
-        out = F.when(F.map_contains_key(keys, c), F.element_at(keys, c)).otherwise(rest)
+        whole = isinstance(t, T.IntegralType)
+        plain = {(k if isinstance(k, str) else int(k) if whole else float(k)): v for k, v in plain.items() if not (whole and k != int(k))}
+        wide = c if isinstance(t, T.StringType) else c.cast("bigint" if whole else "double")
+        found = F.create_map(*[x for k, v in plain.items() for x in (F.lit(k).cast("bigint") if whole else F.lit(k), F.lit(v))])
+        out = F.when(F.map_contains_key(found, wide), F.element_at(found, wide)).otherwise(missed)
     else:
         out = None
         for k, v in plain.items():
-            test = c == F.lit(k)
+            test = is_in(c, t, [k])
             out = F.when(test, F.lit(v)) if out is None else out.when(test, F.lit(v))
-        out = rest if out is None else out.otherwise(rest)
-    return F.when(c.isNull(), F.lit(table[None])).otherwise(out) if None in table else out
+        out = missed if out is None else out.otherwise(missed)
+    return F.when(c.isNull(), F.lit(results[keys.index(None)])).otherwise(out) if None in table else out
 
 
 def ratio(scope, params: dict, o: Options) -> Column:
@@ -115,11 +127,11 @@ def ratio(scope, params: dict, o: Options) -> Column:
 def then(spec: Any, scope, matched: str | None, o: Options) -> Column:
     """A scalar as it is; a transform on its own ``field``, or on the field the condition looked at."""
     if not isinstance(spec, dict):
-        return F.lit(spec)
+        return no_reason() if o.reasons else F.lit(spec)
     if spec["type"] in ("case", "ratio"):
         if spec["type"] == "case" and not o.intended:
             # only the matched value is in reach, so conditions on other fields cannot hold
-            return F.lit(spec.get("default"))
+            return no_reason() if o.reasons else F.lit(spec.get("default"))
         return transform(spec, scope, None, o)
     return transform(spec, scope, spec.get("field", matched), o)
 
@@ -131,7 +143,7 @@ def case(scope, params: dict, o: Options) -> Column:
         if test is not None:
             value = then(item["then"], scope, item["when"].get("field"), o)
             out = F.when(test, value) if out is None else out.when(test, value)
-    rest = F.lit(params.get("default"))
+    rest = no_reason() if o.reasons else F.lit(params.get("default"))
     return rest if out is None else out.otherwise(rest)
 
 
@@ -161,6 +173,31 @@ def register_transform(name: str, build: Callable[[dict], Callable[[Column], Col
     ONE[name] = lambda p, c, t, o: build(p)(c)
 
 
+def register_python_transform(name: str, returns: str, build: Callable[[dict], Callable[[pa.Array], pa.Array]]) -> None:
+    """Add a transform in Python: ``build(params)`` gives a function from an Arrow array to one of as many values, of type
+    ``returns``. It is called for a batch of values at a time; a Column builder (register_transform) is faster still."""
+
+    def column(p, c, t, o):
+        fn = build(p)
+
+        def run(values: pa.Array) -> pa.Array:
+            return fn(values)
+
+        return F.arrow_udf(run, returns)(c)
+
+    ONE[name] = column
+
+
+# name -> (schema, function of a record batch), for rows that become several
+FLAT_MAPS: dict[str, tuple[str, Callable[[pa.RecordBatch], pa.RecordBatch]]] = {}
+
+
+def register_flat_map(name: str, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> None:
+    """Add a flat-map in Python: ``fn`` takes a batch of rows and gives the rows made of them, with the columns of
+    ``schema`` and before them ``row``, the place in the batch of the row that each comes from."""
+    FLAT_MAPS[name] = (schema, fn)
+
+
 def formula(text: str, scope) -> Column:
     """Arithmetic over fields: names, numbers, + - * / and brackets; anything else is refused."""
     import re
@@ -207,6 +244,8 @@ def formula(text: str, scope) -> Column:
 def transform(spec: dict, scope, field: str | None, o: Options) -> Column:
     """One transform over ``field`` of the scope (``case``, ``ratio``, ``percentage`` and ``formula`` take the row)."""
     kind = spec["type"]
+    if o.reasons and kind != "case":
+        return reason(spec, scope, field, o)
     if kind == "constant":
         out = F.lit(spec["value"])
     elif kind == "case":
@@ -223,10 +262,36 @@ def transform(spec: dict, scope, field: str | None, o: Options) -> Column:
     elif field is None or not scope.has(field):
         return F.lit(None)
     else:
-        out = ONE[kind](spec, scope.col(field), scope.type(field), o)
+        out = scope.where_present(field, ONE[kind](spec, scope.col(field), scope.type(field), o))
     return out.cast(spec["output_type"]) if "output_type" in spec and kind != "integer" else out
 
 
+#: Transforms whose values may fail to convert.
+FALLIBLE = ("date", "date_parser", "float", "integer", "enum", "currency")
+
+
+def no_reason() -> Column:
+    return F.lit(None).cast("string")
+
+
+def reason(spec: dict, scope, field: str | None, o: Options) -> Column:
+    """``<transform>: <value>`` where a value that is there does not convert, else null."""
+    kind = spec["type"]
+    if kind not in FALLIBLE or field is None or not scope.has(field):
+        return no_reason()
+    c, t = scope.col(field), scope.type(field)
+    said = F.concat(F.lit(f"{kind}: "), c.cast("string"))
+    if kind == "enum":
+        if not is_strict(spec):
+            return no_reason()
+        if "joined" in spec:
+            return F.when(c.isNotNull() & ~spec["joined"][1], said)
+        hit = {k: True for k in mapping_of(spec)}
+        return F.when(c.isNotNull() & ~F.coalesce(enum(c, t, {"mappings": hit, "on_error": False}, Options(on_error="null")), F.lit(False)), said)
+    value = ONE[kind](spec, c, t, replace(o, reasons=False, exact=False, on_error="null"))
+    return F.when(c.isNotNull() & value.isNull(), said)
+
+
 @F.pandas_udf(T.DoubleType())
 def exact_round(value: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v != v or v is None else round(v, int(d)) for v, d in zip(value, digits, strict=True)], dtype="float64")

@@ -121,7 +121,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     data = dict(a.external_input)  # credentials stay in a store of their own and in no plan
-    inputs = {"namespace": a.namespace, "data_ingestion_config": a.data_ingestion_config, "config_root": a.config_root, "output_dir": a.output_dir or spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/exports", "auth_store": dict(a.auth_data), "data_store": data, "spark": spark, **data}
+    inputs = {"namespace": a.namespace, "data_ingestion_config": a.data_ingestion_config, "config_root": a.config_root, "output_dir": a.output_dir or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/exports", "auth_store": dict(a.auth_data), "data_store": data, "spark": spark, **data}
     built = build(read_config(a.pipeline_config), inputs)
     if a.verbose:
         print("steps:", *built.steps)

@@ -11,7 +11,7 @@ from ..functions.params import evaluate
 from ..operators.compiler import apply_spec
 from ..operators.unique import export_projection, unique_on
 from ..sources.readers import SqlClient, dispatch, filter_columns, flatten_batches, open_client, read_config, read_csv
-from ..sources.sinks import export_csv
+from ..sources.sinks import export_csv, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -270,7 +270,7 @@ def array_scalars(spark, d):
 def csv_roundtrip(spark, d):
     """Exported as gzip tab-separated text and read back: quotes, delimiters and empty cells come through."""
     rows = table(spark, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "'), "n_regionkey", F.lit('"')).alias("note"), F.lit(None).cast("string").alias("nothing"))
-    path = export_csv(rows, {"filename": "nation", "unique_on": ["n_nationkey"], "fields": rows.columns}, spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/exports", ["note"])
+    path = export_csv(rows, {"filename": "nation", "unique_on": ["n_nationkey"], "fields": rows.columns}, scratch(spark, "exports"), ["note"])
     return read_csv(spark, path, sep="\t")
 
 
@@ -311,3 +311,6 @@ def flagship(spark, d):
     df = nested_orders(spark, d).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     flat = apply_spec(df, FLAGSHIP)
     return export_projection(unique_on(flat, FLAGSHIP["export"]["unique_on"], ["part", "cost", "returned"]), FLAGSHIP["export"]["fields"])
+
+
+from . import further_queries  # noqa: E402, F401  (adds its own)

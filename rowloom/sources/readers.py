@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from pathlib import Path
 from typing import Any
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.params import Context, filter_items, register_step
+from ..functions.params import BoundQuery, Context, register_step, typed_filters
+from .pages import PagedClient
 
 _SOURCES: dict[str, Callable] = {}
 
@@ -60,6 +62,34 @@ def from_records(spark: SparkSession, records: Iterable[dict], schema: str | T.S
     return raw.select("_seq", F.from_json("line", schema).alias("r")).select("_seq", "r.*")
 
 
+def _plain(kind: T.DataType) -> T.DataType:
+    """A type found in VARIANTs with decimals as doubles, and text where kinds are mixed or only nulls occur."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_plain(kind.elementType))
+    if isinstance(kind, (T.DecimalType, T.FloatType)):
+        return T.DoubleType()
+    return T.StringType() if isinstance(kind, (T.VariantType, T.NullType)) else kind
+
+
+def ragged_records(df: DataFrame, text: str, name: str = "record", schema: str | T.StructType | None = None) -> DataFrame:
+    """``df`` with its column ``text`` of JSON objects as a VARIANT column ``name``, for apply_spec(record=name).
+
+    A VARIANT keeps a missing key apart from a null. Which keys and types occur is told by ``schema``, or found in a
+    pass over the texts (mixed scalars of one key become text), and travels in the column's metadata. Text that is no
+    JSON gives a null record.
+    """
+    parsed = F.try_parse_json(F.col(f"`{text}`"))
+    if schema is None:
+        found = df.select(F.schema_of_variant_agg(parsed)).first()[0] or "OBJECT<>"
+        schema = _plain(T.DataType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", found)))
+        schema = schema if isinstance(schema, T.StructType) else T.StructType([])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    return df.withColumn(name, parsed.alias(name, metadata={"record": schema.json()})).drop(*([text] if text != name else []))
+
+
 def flatten_batches(df: DataFrame, results: str = "results") -> DataFrame:
     """A stream of batches, each with an array of results, as one row per result with its fields as columns."""
     return df.select(F.explode(results).alias("__r")).select("__r.*")
@@ -72,9 +102,11 @@ _OPERATORS = {
 }
 
 
-def conditions(filters: list[dict]) -> Column:
-    """Filters as dicts of key, operator and value (in this order, whatever their names) as one Column."""
+def conditions(filters: list[dict] | str) -> Column:
+    """Filters as dicts of key, operator and value (in this order, whatever their names), or JSON text of them, as one
+    Column."""
     out = F.lit(True)
+    filters = json.loads(filters) if isinstance(filters, str) else filters
     for key, operator, value in (tuple(f.values()) for f in filters):
         if operator.upper() not in _OPERATORS:
             raise ValueError(f"operator {operator!r} has no column form")
@@ -87,14 +119,7 @@ def filter_columns(node: dict, inputs: dict | None = None) -> Column:
 
     Values are typed literals, never text spliced into SQL. Operators: = == != <> < <= > >= IN, NOT IN, LIKE, CONTAIN.
     """
-    plain = {"items": {k: {**i, "value": {a: b for a, b in i["value"].items() if a != "format_as"} if isinstance(i["value"], dict) else i["value"]} for k, i in node["items"].items()}}
-    ints = {k for k, i in node["items"].items() if isinstance(i["value"], dict) and i["value"].get("format_as") in ("INT", "INT_LIST")}
-    out = []
-    for k, o, v in filter_items(plain, Context(inputs)):
-        if k in ints:
-            v = [int(x) for x in v] if isinstance(v, (list, tuple)) else int(v)
-        out.append({"key": k, "operator": o, "value": v})
-    return conditions(out)
+    return conditions([{"key": k, "operator": o, "value": v} for k, o, v in typed_filters(node, Context(inputs))])
 
 
 class SqlClient:
@@ -103,8 +128,8 @@ class SqlClient:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def search(self, query: str) -> DataFrame:
-        return self.spark.sql(query)
+    def search(self, query: str | BoundQuery) -> DataFrame:
+        return self.spark.sql(query.text, args=query.args) if isinstance(query, BoundQuery) else self.spark.sql(query)
 
 
 class TableClient:
@@ -113,6 +138,12 @@ class TableClient:
     def __init__(self, spark: SparkSession, path: str, format: str = "parquet", **options):
         self.df = spark.read.format(format).options(**options).load(path)
 
+    @classmethod
+    def over(cls, df: DataFrame) -> TableClient:
+        out = cls.__new__(cls)
+        out.df = df
+        return out
+
     def get(self, fields: list[str] | None = None, where: Column | list[dict] | None = None, limit: int | None = None) -> DataFrame:
         """``where``: a Column, or what a ``filter`` node of a configuration gives."""
         if where is not None and not isinstance(where, Column):
@@ -135,6 +166,7 @@ class TableSession:
 register_step("table_session")(TableSession)
 register_source("sql")(SqlClient)
 register_source("table")(TableClient)
+register_source("pages")(PagedClient)
 
 
 def connect(spark: SparkSession, name: str, **options):
