@@ -112,21 +112,25 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 key = lambda length, place: ((length << 40) ^ (place << 16) ^ g).ravel()
                 own = pa.array(np.repeat(at, first.shape[1]))
                 names = b.column(0).take(own)
+                letters = np.bitwise_or.reduce(np.int64(1) << np.where(m < 128, m - 97, 26 + m % 38), axis=1)
+                letters = pa.array(np.repeat(letters, first.shape[1]))
                 for side, k in ((0, key(long, first)), (1, key(long - 1, first)), (1, key(long - 1, first - 1))):
-                    yield pa.record_batch([names, pa.repeat(pa.scalar(side, pa.int8()), len(k)), pa.array(k)], ["word", "side", "key"])
+                    yield pa.record_batch([names, letters, pa.repeat(pa.scalar(side, pa.int8()), len(k)), pa.array(k)], ["word", "letters", "side", "key"])
 
-    placed = stash(words.select("word").mapInArrow(keys, "word string, side byte, key long"), "bigrams")
-    left = placed.where("side = 0").select("key", F.col("word").alias("a"))
-    right = placed.select("key", F.col("word").alias("b"), "side")
+    placed = stash(words.select("word").mapInArrow(keys, "word string, letters long, side byte, key long"), "bigrams")
+    left = placed.where("side = 0").select("key", F.col("word").alias("a"), F.col("letters").alias("letters_a"))
+    right = placed.select("key", F.col("word").alias("b"), F.col("letters").alias("letters_b"), "side")
     large = stash(left.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("parts")), "large")
     on = ["key"]
     if many := large.count():
         large = F.broadcast(large) if many <= MOST_SENT else large
         parts = F.coalesce("parts", F.lit(1))
-        left = left.join(large, "key", "left").select("key", "a", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
-        right = right.join(large, "key", "left").select("key", "b", "side", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        left = left.join(large, "key", "left").select("key", "a", "letters_a", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+        right = right.join(large, "key", "left").select("key", "b", "letters_b", "side", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         on = ["key", "part"]
-    met = left.join(right, on).where(((F.col("side") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    # One edit takes a letter away, brings one in, or both.
+    alike = F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2
+    met = left.join(right, on).where(alike & ((F.col("side") == 1) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
