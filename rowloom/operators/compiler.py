@@ -116,7 +116,10 @@ class _RaggedScope(Scope):
         self.c, self.there = c, c.isNotNull()
 
     def _get(self, name: str, kind: str) -> Column:
-        return F.try_variant_get(self.c, "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", kind)
+        mark = next((m for m in "'\"" if m not in name), None)
+        if mark is None:  # a path cannot quote a name that holds both marks
+            return F.try_variant_get(F.try_element_at(F.try_variant_get(self.c, "$", "map<string,variant>"), F.lit(name)), "$", kind)
+        return F.try_variant_get(self.c, f"$[{mark}{name}{mark}]", kind)
 
     def col(self, name):
         return self._get(name, stored(self.type(name)))

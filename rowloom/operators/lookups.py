@@ -22,7 +22,7 @@ def wants_join(transform: dict) -> bool:
     return transform.get("type") == "enum" and ("lookup" in transform or len(mapping_of(transform) or ()) > LARGE)
 
 
-def lookup_table(spark: SparkSession, transform: dict, kind: T.DataType) -> DataFrame | None:
+def lookup_table(spark: SparkSession, transform: dict, mapping: dict, kind: T.DataType) -> DataFrame | None:
     """(key, value) of an enum: from its mapping, or from ``lookup`` (path, format, key, value), a table that Spark reads.
 
     Keys are of the kind of the values they are to meet (None if no key is); of a table's rows with one key the least
@@ -35,7 +35,7 @@ def lookup_table(spark: SparkSession, transform: dict, kind: T.DataType) -> Data
         if isinstance(rows.schema["key"].dataType, T.StringType) != text:
             return None
         return rows.where("key IS NOT NULL").groupBy("key").agg(F.min("value").alias("value"))
-    fit = {k: v for k, v in zip(mapping_of(transform), alike(list(mapping_of(transform).values())), strict=True) if k is not None and same_kind(k, kind)}
+    fit = {k: v for k, v in mapping.items() if k is not None and same_kind(k, kind)}
     if not fit:
         return None
     keys = list(fit) if text else [float(k) for k in fit]
@@ -56,7 +56,13 @@ def join_lookups(df: DataFrame, inline: tuple[dict, ...], source_of: Callable[[d
             continue
         c, kind = source
         t = dict(f["transform"])
-        table, own = lookup_table(df.sparkSession, t, kind), mapping_of(t) or {}
+        own, name = mapping_of(t) or {}, next((k for k in ("on_error", "default") if k in t), None)
+        *results, rest = alike([*own.values(), t.get(name)])
+        own = dict(zip(own, results, strict=True))
+        table = lookup_table(df.sparkSession, t, own, kind)
+        if name is not None:
+            known = table is not None and isinstance(table.schema["value"].dataType, T.StringType)
+            t[name] = str(rest) if known and rest is not None else rest
         hit, value = F.lit(False), F.lit(None)
         if table is not None:
             size = table.agg(F.sum(F.length(F.col("key").cast("string")) + F.coalesce(F.length(F.col("value").cast("string")), F.lit(0)) + 16)).first()[0] or 0

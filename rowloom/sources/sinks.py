@@ -17,7 +17,7 @@ def export_csv(df: DataFrame, export: dict, base: str, order_by: list[str] | Non
 
     A folder of gzip parts, tab-separated, each with a header, written in parallel; with ``single_file`` one file of
     that name, sorted by ``order_by`` if given (see join_parts). Quotes are doubled, nulls and empty texts are empty
-    cells, lines end in CR LF.
+    cells, lines end in CR LF, also those inside a cell.
     """
     if export.get("unique_on"):
         if not order_by:
