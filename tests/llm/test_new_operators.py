@@ -175,3 +175,18 @@ def test_pruning_by_the_triangle_inequality():
     exact = v[:100] @ v.T
     exact[ids[:100], ids[:100]] = -9
     assert (np.sort(exact, 1)[:, :-21:-1] - s.score < 1e-12).all() and s.scored < 0.35 * 100 * 4000
+
+
+def test_a_url_shape_of_many_tokens(spark):
+    """Thirty tokens that always stand together, sure or not, are mined in one step each; rules are those of single tokens."""
+    from rowloom.llm import url_rules
+
+    shape = "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    urls = [f"http://x.com/de/{shape}/{i}" for i in range(3)] + [f"http://y.com/{'de' if i % 3 else 'fr'}/both/{shape.upper()}" for i in range(9)] + ["http://z.net/waa/1", "http://z.net/WBA/both", "http://z.net/none"] + [f"http://m.com/fr/{i}" for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.judge_urls(df).collect()}
+    assert (got[12].verdict, got[12].mined) == ("block", "p:waa") and (got[13].verdict, got[13].mined) == ("allow", None)
+    host, path = url_rules.host_and_path(F.col("url"))
+    labelled = df.where("page_id < 3 OR page_id > 14").select(url_rules.url_tokens(host, path).alias("tokens"), F.when(F.col("page_id") < 3, "block").otherwise("allow").alias("verdict"))
+    sure = {(tuple(r.antecedent), r.verdict) for r in url_rules.mine_rules(labelled).collect()}
+    assert {((f"p:{w}",), "block") for w in shape.split("/")} <= sure and all(len(a) == 1 for a, _ in sure)
