@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stash
 
-#: Numbering buckets per length: pieces of one length are counted in this many parts.
-BUCKETS = 64
+#: Pieces of one length are numbered in parts of about this many, or of 1/20000 of all pieces where that is more.
+PART, PARTS = 1000, 20_000
 END = 0
 #: Fillings that the search tries where the incumbent is above the lower bound; some seconds on the driver.
 NODES = 1000
@@ -284,8 +284,9 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     ``vocabulary`` is the tokenizer's file, ``ranks`` the same vocabulary as ranks; both default to byte_bpe_50k.
     Piece lengths are at most ``capacity``, so their histogram is small whatever the corpus: it is counted on the
     executors, packed on the driver by complete_bins, and the patterns go back as a table by length. A piece finds
-    its place from its number among the pieces of its length; numbers come from per-bucket counts, so no task
-    numbers all pieces of a length.
+    its place from its number among the pieces of its length. A length of many pieces is numbered in parts, whose
+    counts say where each begins, so no task numbers all pieces of a length; the driver holds a count for each
+    length and at most 2 x PARTS for the parts.
 
     Defined cases: null and empty text are the single id END; null ids are packed as others; repeated rows are packed
     each; an empty table gives an empty result; extra columns are ignored. The text '<|endoftext|>' is one id, as in
@@ -293,13 +294,15 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     rows = stash(token_pieces(docs, capacity, id_col, text_col, vocabulary, ranks, keep_ids), "pieces")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = sorted(tuple(r) for r in rows.groupBy("length", "bucket").agg(F.count("*")).collect())  # <= capacity x BUCKETS
-    hist: dict[int, int] = defaultdict(int)
-    first = []
-    for x, b, n in counts:
-        first.append((x, b, hist[x]))
-        hist[x] += n
+    hist = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    part = max(PART, sum(hist.values()) // PARTS)
+    split = spark.createDataFrame([(x, -(-n // part)) for x, n in hist.items() if n > part], "length long, parts int")
+    bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")), F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(split), "length", "left").withColumn("bucket", bucket).drop("parts")
+    first, seen = [], dict.fromkeys(hist, 0)
+    for x, b, n in sorted(tuple(r) for r in rows.where(F.col("length").isin([r for r, n in hist.items() if n > part])).groupBy("length", "bucket").count().collect()):
+        first.append((x, b, seen[x]))
+        seen[x] += n
     table: dict[int, list[tuple]] = defaultdict(list)
     taken: dict[int, int] = defaultdict(int)
     sequence = 0
@@ -324,10 +327,10 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
             keep = [c for c in b.schema.names if c != "at"]
             yield pa.record_batch([b.column(c) for c in keep] + [pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
-    starts = spark.createDataFrame(first, "length long, bucket int, first long")
-    w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
+    starts = spark.createDataFrame(first, "length long, bucket int, first long")  # of the split lengths: at most 2 x PARTS rows
+    w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = (
-        rows.withColumn("k", F.row_number().over(w)).join(F.broadcast(starts), ["length", "bucket"]).withColumn("at", F.col("first") + F.col("k") - 1)
+        rows.withColumn("k", F.row_number().over(w)).join(F.broadcast(starts), ["length", "bucket"], "left").withColumn("at", F.coalesce("first", F.lit(0)) + F.col("k") - 1)
         .select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "at")
     )
     ids = ", ids array<long>" if keep_ids else ""
