@@ -27,11 +27,11 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine & F.exists(x, lambda c: c != 0), F.lit(False)))
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """A list column as rows of ``width`` doubles, shorter vectors padded with zeros."""
+def matrix(column: pa.ChunkedArray | pa.Array, width: int, kind=np.float64) -> np.ndarray:
+    """A list column as rows of ``width`` numbers, shorter vectors padded with zeros."""
     col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = np.asarray(col.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    out = np.zeros((len(size), width))
+    out = np.zeros((len(size), width), kind)
     out[np.arange(width) < size[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
     return out
 
@@ -51,10 +51,10 @@ class VantageTree:
         new = np.r_[True, (vectors[1:] != vectors[:-1]).any(1)]
         group = np.cumsum(new) - 1
         # Of equal vectors, 2 keep rows suffice: an id of its own has at most ``keep`` of them, so ``keep`` are left without it.
-        nth_of_id = _nth(group, ids)
+        nth_of_id = nth_of(group, ids)
         some = nth_of_id < keep
         ids, group = ids[some], group[some]
-        some = _nth(group) < 2 * keep
+        some = nth_of(group) < 2 * keep
         self.ids, self.start = ids[some], np.searchsorted(group[some], np.arange(new.sum() + 1))
         self.points = vectors[new]
         rest = np.sqrt(np.maximum(longest**2 - (self.points**2).sum(1), 0))
@@ -108,7 +108,7 @@ class VantageTree:
                 self._visit(parts[part], left, q)
 
 
-def _nth(*keys: np.ndarray) -> np.ndarray:
+def nth_of(*keys: np.ndarray) -> np.ndarray:
     """Place of each entry among those with its keys (which stand together)."""
     n = len(keys[0])
     first = np.zeros(n, bool)
@@ -162,7 +162,7 @@ class Search:
         row = np.r_[row, np.repeat(rows, self.k)]
         ids, score = np.r_[ids, self.found[rows].ravel()], np.r_[score, self.score[rows].ravel()]
         order = np.lexsort((ids, -score, row))
-        order = order[(n := _nth(row[order])) < self.k]
+        order = order[(n := nth_of(row[order])) < self.k]
         n = n[n < self.k]
         self.score[row[order], n], self.found[row[order], n] = score[order], ids[order]
 

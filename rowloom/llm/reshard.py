@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import fresh
 
@@ -108,6 +110,15 @@ def place_units(units: list[tuple[int, int]], capacity: list[int]) -> list[int]:
     return to
 
 
+def row_key(id_col: str, text_col: str) -> dict[str, Column]:
+    """What tells rows apart that are not alike: doc_id, size (UTF-8 bytes and 1) and text_crc32."""
+    return {
+        "doc_id": F.col(f"`{id_col}`").cast("long"),
+        "size": (F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)) + 1).cast("long"),
+        "text_crc32": F.coalesce(F.crc32(F.col(f"`{text_col}`").cast("binary")), F.lit(0)).cast("long"),
+    }
+
+
 def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", old_shard=None, weights: list[float] | None = None) -> DataFrame:
     """Deal rows to ``shards`` shards of near equal bytes (or bytes in proportion to ``weights``), moving least.
 
@@ -125,9 +136,7 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # null as the empty text, which has the same size and crc
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        *[c.alias(n) for n, c in row_key(id_col, text_col).items()],
         (F.pmod(h, F.lit(shards)) if old_shard is None else old_shard).cast("int").alias("old"),
         F.pmod(F.shiftright(h, 20), F.lit(BLOCKS)).cast("int").alias("blk"),
     )
@@ -159,36 +168,59 @@ def reshard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 
 def _by(*cols):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*cols)
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None) -> list[int]:
     """Write the shards that gain or lose rows under ``path`` as shard=N folders; return their numbers.
 
-    ``assigned`` comes from reshard over the same rows, whose ids must be unique. Shards that keep exactly their rows
-    are left as they are; the folder of a shard that keeps no row is removed. ``docs`` must not read from ``path``
-    (ValueError). A column of ``docs`` named shard is replaced; others come back as they are. Ten thousand shards at
-    most, so their numbers fit on the driver.
+    ``assigned`` comes from reshard over the same rows. Rows meet by id, size and crc32 of the text (null ids are equal),
+    and by ``old_shard`` if it is given, as it should be where alike rows lie in several old shards. Alike rows
+    that go to several shards are dealt out by their number; all others, whatever their number, go where their key goes,
+    so that no task numbers a group of copies. The new folders are written beside the old ones and their rows counted;
+    only if each holds what ``assigned`` gives it are they put in place, else ValueError is raised and nothing is
+    replaced. Shards that keep exactly their rows are left as they are; the folder of a shard that keeps no row is
+    removed. ``docs`` must not read from ``path`` (ValueError). A column of ``docs`` named shard is replaced; others
+    come back as they are. Ten thousand shards at most, so their numbers fit on the driver.
     """
     spark = docs.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    root = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(jpath(path)).toUri().getPath().rstrip("/") + "/"
     if any(spark._jvm.java.net.URI(f).getPath().startswith(root) for f in docs.inputFiles()):
         raise ValueError(f"the rows are read from {path}; write to another folder")
     moved = assigned.where("shard <> old_shard")
     changed = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
+    expected = {r[0]: r[1] for r in assigned.where(F.col("shard").isin(changed)).groupBy("shard").count().collect()}
+
     kept = [c for c in docs.columns if c.lower() != "shard"]
-    key, slot = fresh([*kept, "shard"], "id"), fresh([*kept, "shard"], "slot")
-    mine = assigned.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias(key), "shard", F.col("slot").alias(slot))
-    out = docs.select(*[F.col(f"`{c}`") for c in kept])
-    out = out.join(mine, out[id_col] == mine[key]).drop(key).repartition("shard", F.floor(F.col(slot) / 1_000_000))
-    out.sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    filled = {r[0] for r in assigned.where(F.col("shard").isin(changed)).select("shard").distinct().collect()}
-    for n in set(changed) - filled:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}"), True)
+    names = row_key(id_col, text_col) | ({} if old_shard is None else {"old_shard": old_shard.cast("int")})
+    key = [fresh([*kept, "shard"], "key_" + n) for n in names]
+    n, several, mine = (fresh([*kept, *key, "shard"], x) for x in ("nth", "several", "mine"))
+    rows = docs.withColumns(dict(zip(key, names.values(), strict=True))).select(*[F.col(f"`{c}`") for c in kept], *key)
+    dealt = assigned.select(*[F.col(c).alias(k) for c, k in zip(names, key, strict=True)], F.col("shard").alias(mine), "slot")
+    goes = dealt.groupBy(*key).agg(F.min(mine).alias("shard"), (F.min(mine) < F.max(mine)).alias(several))
+    same = lambda a, b, more=(): F.expr(" AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in (*key, *more)))
+    met = rows.alias("r").join(goes.alias("g"), same("r", "g")).select("r.*", "g.shard", f"g.{several}")
+    numbered = lambda df, order: df.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    left = numbered(met.where(several).drop("shard"), [F.col(f"`{c}`") for c in kept if not isinstance(docs.schema[c].dataType, (MapType, VariantType))] or [F.lit(0)])
+    right = numbered(dealt.alias("d").join(goes.where(several).alias("g"), same("d", "g"), "left_semi"), ["slot"])
+    parted = left.alias("r").join(right.alias("d"), same("r", "d", [n])).select("r.*", F.col(f"d.{mine}").alias("shard"))
+    out = met.where(~F.col(several)).unionByName(parted.drop(n)).where(F.col("shard").isin(changed)).select(*[F.col(f"`{c}`") for c in kept], "shard", *key)
+
+    new = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    tasks = F.pmod(F.xxhash64(*key), F.lit(max(1, -(-max(expected.values(), default=0) // 1_000_000))))
+    out.repartition("shard", tasks).sortWithinPartitions("shard", *key).drop(*key).write.partitionBy("shard").parquet(new)
+    try:
+        written = {r[0]: r[1] for r in spark.read.parquet(new).groupBy("shard").count().collect()} if expected else {}
+        if written != expected:
+            raise ValueError(f"rows of shards do not add up to the plan: {written} for {expected}; nothing was replaced")
+        for shard in changed:
+            fs.delete(jpath(f"{path}/shard={shard}"), True)
+            if shard in expected:
+                fs.rename(jpath(f"{new}/shard={shard}"), jpath(f"{path}/shard={shard}"))
+    finally:
+        fs.delete(jpath(new), True)
     return changed
 
 

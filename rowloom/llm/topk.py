@@ -3,122 +3,113 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries in one block; a task holds one block of each.
-VECTORS, QUERIES = 4096, 1024
+from .common import stash
+from .neighbours import matrix, nth_of
+
+#: Vectors and queries that are multiplied at a time; queries that are broadcast at a time (8 bytes a component each).
+VECTORS, QUERIES, SENT = 2048, 256, 16_384
+#: Below every score.
+LEAST = -(1 << 62)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>) of usable rows; of rows that repeat an id the smallest vector stays."""
+    """(vec_id, v array<long>) of usable rows, every row by itself."""
     x = F.col("v0")
     ok = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (
         df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v0"))
         .where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
         .select("vec_id", F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
     )
 
 
-def _split(pdf: pd.DataFrame):
-    """Query ids, vector ids and the partial scores of the two lists (first and second half of the components)."""
-    q, v = pdf[pdf["is_q"]], pdf[~pdf["is_q"]]
-    if not len(q) or not len(v):
-        return None
-    d = max(map(len, pdf["v"]))
+class Cutoffs:
+    """The ``k`` best totals that a task has seen for each query; the k-th is a safe local cutoff."""
 
-    def matrix(part):
-        out = np.zeros((len(part), d), np.int64)
-        for i, x in enumerate(part["v"]):
-            out[i, : len(x)] = x
-        return out
+    def __init__(self, queries: int, k: int):
+        self.k, self.best = k, np.full((queries, k), LEAST, np.int64)
 
-    a, b = matrix(q), matrix(v)
-    if d * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**53:
-        a, b = a.astype(np.float64), b.astype(np.float64)  # sums stay exact in doubles
-    h = (d + 1) // 2
-    p1 = (a[:, :h] @ b[:, :h].T).astype(np.int64)
-    p2 = (a[:, h:] @ b[:, h:].T).astype(np.int64)
-    return q, q["vec_id"].to_numpy(), v["vec_id"].to_numpy(), p1, p2
+    def see(self, at: slice, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Totals of the heads of both lists (the k + 1 best partial scores) are seen; the cutoffs afterwards."""
+        heads = []
+        for p in (first, second):
+            m = min(p.shape[1], self.k + 1)
+            heads.append(np.argpartition(-p, m - 1, axis=1)[:, :m])
+        heads = np.sort(np.concatenate(heads, 1), 1)
+        total = (np.take_along_axis(first, heads, 1) + np.take_along_axis(second, heads, 1)).astype(np.int64)
+        again = np.zeros(heads.shape, bool)
+        again[:, 1:] = heads[:, 1:] == heads[:, :-1]
+        total[again | np.take_along_axis(own, heads, 1)] = LEAST
+        self.best[at] = np.sort(np.concatenate([self.best[at], total], 1), 1)[:, -self.k :]
+        return self.best[at][:, 0]
 
 
 def exact_top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """For every query row the k other rows of highest integer inner product, ties to the smaller id.
+    """For every query row the k other rows of highest integer inner product, ties to the smaller id; ``is_query`` is a
+    condition on ``vec_id``.
 
-    Every block of vectors holds two sorted lists per query, the partial scores over either half of the components.
-    Phase 1: each block sends the totals of its k best entries of either list; the k-th best total over all blocks is
-    a safe cutoff. Phase 2: the cutoff goes back with the queries; an entry whose two partial scores are both below
-    half of it cannot reach it, all others are collected. Phase 3: their totals are resolved, those below the
-    cutoff go, and at most k rows per block and query are left for the final ranking.
+    Vectors are read where they are and never shuffled; queries come to them as broadcasts of at most SENT. A task holds
+    two lists per query, the partial scores over either half of the components. Phase 1: the totals of the k best
+    entries of either list give a local cutoff, which rises as the task goes on; an entry whose two partial scores are
+    both below half of it cannot reach it, and the lists end there. What is left of them is written (of entries that
+    tie, k of a block suffice). Phase 2: the k-th best total over all tasks is a safe cutoff; the lists are read up to
+    half of it. Phase 3: the totals of those entries are resolved, those below the cutoff go, the others are ranked.
 
     Defined cases: a null id, null vector or one with a null or non-finite component takes no part; shorter vectors
-    count as padded with zeros; of rows repeating an id the smallest vector takes part; fewer than k candidates
-    give fewer rows; an empty table gives none. Scores must fit 64 bits.
+    count as padded with zeros; rows that repeat an id are all candidates, and of those that are queries the smallest
+    vector is the query; rows of the query's own id are no candidates of it; fewer than k candidates give fewer rows;
+    an empty table gives none. Scores must fit 62 bits.
     """
+    spark = df.sparkSession
     vectors = integer_vectors(df, id_col, vec_col, scale)
-    nv, nq = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    vb, qb = max(1, -(-nv // VECTORS)), max(1, -(-nq // QUERIES))
-    hashed = F.xxhash64("vec_id")
-    blocks = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), F.pmod(hashed, F.lit(vb)).cast("int").alias("vb"), F.lit(False).alias("is_q"), "vec_id", "v"
-    )
-    queries = vectors.where(is_query).select(F.pmod(hashed, F.lit(qb)).cast("int").alias("qb"), "vec_id", "v")
-    each = F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb")
-
-    def heads(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if (s := _split(pdf)) is not None:
-            _, qs, vs, p1, p2 = s
-            for i in range(len(qs)):
-                own = vs == qs[i]
-                take = set()
-                for p in (p1[i], p2[i]):
-                    m = min(len(p), k + 1)
-                    take.update(np.argpartition(-p, m - 1)[:m].tolist())
-                at = np.array(sorted(take))
-                at = at[~own[at]]
-                best = np.sort((p1[i] + p2[i])[at])[::-1][:k]
-                out.append(pd.DataFrame({"query_id": qs[i], "vb": pdf["vb"].iloc[0], "score": best}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vb": [], "score": []}).astype({"query_id": "int64", "vb": "int32", "score": "int64"})
-
+    width, largest = vectors.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    width, exact = width or 0, (width or 0) * float(largest or 0) ** 2 < 2.0**53
+    half, kind = (width + 1) // 2, np.float64 if exact else np.int64  # sums of whole numbers stay exact in doubles
+    queries = stash(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks, lists = max(1, -(-queries.count() // SENT)), None
+    for n in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).toArrow()
+        sent = spark.sparkContext.broadcast((mine.column("vec_id").to_numpy(), matrix(mine.column("v"), width, kind)))
+
+        def local(batches, sent=sent):
+            asked, q = sent.value
+            cutoffs = Cutoffs(len(asked), k)
+            for b in batches:
+                ids, v = b.column(0).to_numpy(), matrix(b.column(1), width, kind)
+                for at in range(0, len(ids), VECTORS):
+                    own_ids, part = ids[at : at + VECTORS], v[at : at + VECTORS]
+                    for lo in range(0, len(asked), QUERIES):
+                        some = slice(lo, lo + QUERIES)
+                        first, second = q[some, :half] @ part[:, :half].T, q[some, half:] @ part[:, half:].T
+                        own = asked[some, None] == own_ids
+                        cut = cutoffs.see(some, first, second, own)
+                        least = -(-cut // 2)[:, None]
+                        r, c = np.nonzero(((first >= least) | (second >= least)) & ~own)
+                        a, z = first[r, c].astype(np.int64), second[r, c].astype(np.int64)
+                        keep = a + z >= cut[r]
+                        r, c, a, z = r[keep], c[keep], a[keep], z[keep]
+                        order = np.lexsort((own_ids[c], -(a + z), r))
+                        order = order[nth_of(r[order]) < k]
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[some][r[order]]), pa.array(own_ids[c[order]]), pa.array(a[order]), pa.array(z[order])], names=["query_id", "vec_id", "first", "second"])
+
+        part = stash(vectors.mapInArrow(local, "query_id long, vec_id long, first long, second long"), "lists")
+        sent.unpersist()
+        lists = part if lists is None else lists.union(part)
     top = lambda c: F.slice(F.sort_array(c, asc=False), 1, k)
     cut = (
-        blocks.unionByName(queries.select("qb", each, F.lit(True).alias("is_q"), "vec_id", "v"))
-        .groupBy("qb", "vb")
-        .applyInPandas(heads, "query_id long, vb int, score long")
-        .groupBy("query_id", F.pmod("vb", F.lit(64)).alias("g"))
-        .agg(top(F.collect_list("score")).alias("s"))
+        lists.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("g"))
+        .agg(top(F.collect_list(F.col("first") + F.col("second"))).alias("s"))
         .groupBy("query_id")
         .agg(top(F.flatten(F.collect_list("s"))).alias("s"))
-        .select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).cast("string").alias("cut"))  # text: pandas would round large numbers beside nulls
+        .select("query_id", F.coalesce(F.get("s", F.lit(k - 1)), F.lit(LEAST)).alias("cut"))
     )
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if (s := _split(pdf)) is not None:
-            q, qs, vs, p1, p2 = s
-            cuts = q["cut"].tolist()
-            for i in range(len(qs)):
-                ok = vs != qs[i]
-                if isinstance(cuts[i], str):
-                    c = int(cuts[i])
-                    ok &= (p1[i] >= -(-c // 2)) | (p2[i] >= -(-c // 2))
-                else:
-                    c = None
-                at = np.flatnonzero(ok)
-                total = p1[i][at] + p2[i][at]
-                if c is not None:
-                    at, total = at[total >= c], total[total >= c]
-                o = np.lexsort((vs[at], -total))[:k]
-                out.append(pd.DataFrame({"query_id": qs[i], "vec_id": vs[at][o], "score": total[o]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    sent = queries.join(cut, "vec_id", "left").select("qb", each, F.lit(True).alias("is_q"), "vec_id", "v", "cut")
-    found = blocks.withColumn("cut", F.lit(None).cast("string")).unionByName(sent).groupBy("qb", "vb").applyInPandas(resolve, "query_id long, vec_id long, score long")
+    enough = F.shiftright(F.col("cut") + 1, 1)
+    found = lists.join(cut, "query_id").where((F.col("first") >= enough) | (F.col("second") >= enough))
+    found = found.select("query_id", "vec_id", (F.col("first") + F.col("second")).alias("score"), "cut").where("score >= cut")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -127,7 +118,7 @@ def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
-#: The same rows where ids are unique; where one repeats, SQL takes all its rows and exact_top_k the smallest vector.
+#: The same rows where the ids of queries are unique; of a repeated one exact_top_k asks with the smallest vector.
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -190,3 +190,40 @@ def test_a_url_shape_of_many_tokens(spark):
     labelled = df.where("page_id < 3 OR page_id > 14").select(url_rules.url_tokens(host, path).alias("tokens"), F.when(F.col("page_id") < 3, "block").otherwise("allow").alias("verdict"))
     sure = {(tuple(r.antecedent), r.verdict) for r in url_rules.mine_rules(labelled).collect()}
     assert {((f"p:{w}",), "block") for w in shape.split("/")} <= sure and all(len(a) == 1 for a, _ in sure)
+
+
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    """Null ids, repeated ids, equal rows, and alike rows of several old shards: rows in are rows out."""
+    from rowloom.llm import reshard
+
+    r = random.Random(8)
+    rows = [(r.choice([None, 1, 2, i]), r.choice([None, "", "same", "t" * (i % 40)]), i % 3, i, "x") for i in range(400)] + [(None, "hot", i % 2, 5, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, was int, n int, nth string").repartition(4)
+    for k, old in enumerate((F.col("was"), None)):
+        path = str(tmp_path / f"o{k}")
+        first = reshard.reshard(df, shards=3, old_shard=F.lit(9)).cache()
+        reshard.rewrite_affected(df, first, path)
+        assert sorted(map(str, spark.read.parquet(path).drop("shard").collect())) == sorted(map(str, df.collect()))
+        plan = reshard.reshard(df, shards=4, old_shard=F.col("was")).cache()
+        reshard.rewrite_affected(df, plan, str(tmp_path / f"p{k}"), old_shard=old)
+        back = spark.read.parquet(str(tmp_path / f"p{k}"))
+        changed = {x.shard for x in back.select("shard").distinct().collect()}
+        assert Counter(x.shard for x in back.collect()) == Counter(x.shard for x in plan.collect() if x.shard in changed)
+        if len(changed) == 4:
+            assert sorted(map(str, back.drop("shard").collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(ValueError, match="nothing was replaced"):
+        reshard.rewrite_affected(df.limit(600), first, str(tmp_path / "o0"))
+    assert spark.read.parquet(str(tmp_path / "o0")).count() == 700 and not list(tmp_path.rglob("_new*"))
+
+
+def test_top_k_keeps_every_row_of_an_id(spark):
+    """Rows that share an id are all candidates; a large group of equal vectors ties by id."""
+    from rowloom.llm import topk
+
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, -1.0]), (100, [-1.0, 5.0])] + [(300 - i, [2.5, 0.0]) for i in range(150)] + [(5, [0.0, -0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") == 100, k=6).collect())
+    floor = lambda v: [int(np.floor(1024 * x)) for x in v]
+    q = floor([-1.0, 5.0])
+    want = sorted((-sum(a * b for a, b in zip(q, floor(v), strict=True)), i) for i, v in rows if i != 100)[:6]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]

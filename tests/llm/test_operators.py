@@ -203,6 +203,7 @@ def test_rewrite_affected(spark, tmp_path):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTORS", 30)
     monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "SENT", 3)
     r = np.random.default_rng(0)
     rows = [(i, [float(x) for x in np.round(r.normal(size=6), 1)], 7) for i in range(300)]
     bad = [(1000, None, 1), (1001, [1.0, None, 2.0, 0.0, 0.0, 0.0], 1), (1100, [float("nan")] * 6, 1), (1200, [float("inf")] * 6, 1), (None, [1.0] * 6, 1)]
