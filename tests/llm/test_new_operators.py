@@ -227,3 +227,46 @@ def test_top_k_keeps_every_row_of_an_id(spark):
     q = floor([-1.0, 5.0])
     want = sorted((-sum(a * b for a, b in zip(q, floor(v), strict=True)), i) for i, v in rows if i != 100)[:6]
     assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+# Written by hand, apart from the samples that the trees learn from: (text, the personal spans in it).
+HAND = [
+    ("You can reach me on 415-555-2671, I am home after six.", ["415-555-2671"]), ("Our new numbers: 212 555 0147 212 555 0148 212 555 0149", ["212 555 0147", "212 555 0148", "212 555 0149"]),
+    ("(415) 555-2671 is the front desk; (415) 555-2672 the kitchen", ["(415) 555-2671", "(415) 555-2672"]), ("Ring 020 7946 0958 before noon.", ["020 7946 0958"]), ("mobile: 0171 2345678", ["0171 2345678"]), ("fax 312.555.0199.", ["312.555.0199"]),
+    ("send it to jane.doe(at)mail.org today", ["jane.doe(at)mail.org"]), ("bob [at] example [dot] co [dot] uk or ann (at) example (dot) com", ["bob [at] example [dot] co [dot] uk", "ann (at) example (dot) com"]), ("press_office(at)museum.de has the pictures", ["press_office(at)museum.de"]),
+    ("Her SSN, 219-09-9999, was on the form", ["219-09-9999"]), ("transfer to DE89 3704 0044 0532 0130 00 by Friday", ["DE89 3704 0044 0532 0130 00"]), ("IBAN GB82WEST12345698765432, thank you", ["GB82WEST12345698765432"]), ("NL91ABNA0417164300 is the club's account", ["NL91ABNA0417164300"]),
+    ("peer 2001:db8:85a3:8d3:1319:8a2e:370:7348 timed out", ["2001:db8:85a3:8d3:1319:8a2e:370:7348"]), ("We sold 12345678 units", []), ("between 1914 1918 1939 1945 nothing grew", []), ("version 10.14.6 build 18G103 of 2021-03-04", []), ("see page 123-456 of ISBN 978-3-16-148410-0", []),
+    ("pi is 3.14159265358979 and e is 2.718281828", []), ("order no 4512 8874 2210", []), ("we met (at) noon, see you (at) work", []), ("it cost 1.250.000 pesos", []), ("at 12:30:45:10 the clock stopped", []), ("part DE12 3456 7890 1234 5678 90 does not exist", []),
+    ("lottery 04 11 19 23 37 42", []), ("coordinates 52.520008 13.404954", []), ("10 20 30 40 50 60 70 80 90 100", []), ("serial 98765432101234567", []), ("the 2019-2020 2020-2021 seasons", []), ("scores 21-19 21-17 19-21", []),
+]
+
+
+def test_added_personal_data_on_hand_written_texts(spark):
+    """Base and added spans together, text by text; and the misses of a greedy generator."""
+    from rowloom.llm import pii
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HAND)], "doc_id long, text string")
+    found = {r.doc_id: [HAND[r.doc_id][0][int(a) : int(e)] for _, a, e in (s.split(":") for s in r.spans.split(","))] if r.spans else [] for r in pii.find_pii(df).collect()}
+    right = sum(len(set(found[i]) & set(want)) for i, (_, want) in enumerate(HAND))
+    assert right >= 0.9 * sum(len(w) for _, w in HAND) and right >= 0.9 * sum(map(len, found.values())), {HAND[i][0]: found[i] for i in found if sorted(found[i]) != sorted(HAND[i][1])}
+
+
+def test_personal_data_candidates():
+    """Every run of groups of 7 to 19 digits, against all pairs of groups; a long list ends soon."""
+    from rowloom.llm import pii
+
+    r = random.Random(2)
+    for _ in range(200):
+        t = "".join(r.choice(["12", "345", "6789", "1" * 20, " ", "-", "(", ")", ".", "x", "  -"]) for _ in range(20))
+        g = [m.span() for m in re.finditer("[0-9]+", t)]
+        want = set()
+        for i in range(len(g)):
+            for j in range(i, len(g)):
+                inside, digits = t[g[i][0] : g[j][1]], sum(e - a for a, e in g[i : j + 1])
+                if 7 <= digits <= 19 and re.fullmatch(r"[0-9]+(?:[ ().-]{1,2}[0-9]+)*", inside):
+                    want.add((g[i][0], g[j][1]))
+                    if t[g[i][0] - 1 : g[i][0]] == "(" and ")" in inside:
+                        want.add((g[i][0] - 1, g[j][1]))
+        assert set(pii.numbers(t)) == want
+    assert len(pii.candidates(" ".join(["415-555-2671"] * 10_000))) < 150_000 and len(pii.candidates("(at)" * 20_000 + "a" * 100_000)) < 10
+    assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83WEST12345698765432")
