@@ -270,3 +270,36 @@ def test_personal_data_candidates():
         assert set(pii.numbers(t)) == want
     assert len(pii.candidates(" ".join(["415-555-2671"] * 10_000))) < 150_000 and len(pii.candidates("(at)" * 20_000 + "a" * 100_000)) < 10
     assert pii.mod97("GB82 WEST 1234 5698 7654 32") and not pii.mod97("GB83WEST12345698765432")
+
+
+def test_keys_by_length_and_ordinary_identifiers(spark):
+    """Recall of random keys by alphabet and length, and the share of identifiers of other words that count as keys;
+    spans against a walk through the model in Python."""
+    import string
+
+    from rowloom.llm import secret_scan
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(docs)
+    r = random.Random(1)
+    alphabets = {"hex": "0123456789abcdef", "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters}
+    rows = [(k, n, "".join(r.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (12, 16, 24, 40) for _ in range(150)]
+    names = ["getUserAccountName", "internationalisation", "customer_address_2", "order-item-2024-11", "parseHttpResponseBody", "src/main/java/Application1", "temperature_sensor_7b", "Donaudampfschifffahrtsgesellschaft", "version-2024-01-rc1", "maximum_retry_count_3"]
+    names += [f"{w}_{n}" for w in ("invoice", "measure", "holiday", "station", "library", "picture") for n in ("page2", "2023", "v10", "total9")]
+    df = spark.createDataFrame([(k, n, f"say {w} now", w) for k, n, w in rows] + [("name", 0, f"in {w}, or", w) for w in names], "k string, n int, text string, w string")
+    got = secret_scan.scan(df, model).collect()
+    hit = Counter((x.k, x.n) for x in got if x.spans)
+    for k in alphabets:
+        for n in (12, 16, 24, 40):
+            assert hit[k, n] >= (0.85 if n == 12 else 0.95) * 150, (k, n, hit[k, n])
+    assert hit["name", 0] <= 0.05 * len(names), [x.w for x in got if x.k == "name" and x.spans]
+
+    def ratio(w):
+        return sum(model[128 * ord(a) + ord(b)] for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1)
+
+    for x in got:
+        w, cut = x.w, [c for least, c in zip(secret_scan.LENGTHS, model.cuts, strict=True) if len(x.w) >= least]
+        if "markov" in x.spans:
+            assert ratio(w) > cut[-1] - 1e-3 and x.spans == f"markov:{x.text.index(w)}:{x.text.index(w) + len(w)}"
+        elif not x.spans and x.k in ("alnum", "hex") and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+            assert ratio(w) < cut[-1] + 1e-3
