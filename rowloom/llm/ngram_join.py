@@ -108,7 +108,7 @@ def _local(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
 
 def _linker(num: int, den: int):
     def hub(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All rows of one hub: itself and its candidates. Rows out: links, with the partners' weights."""
+        """One hub and a part of its candidates. Rows out: links, with the partners' weights."""
         sets, size = _local([np.frombuffer(b, np.uint64) for b in pdf["grams"]])
         at = int(np.flatnonzero((pdf["member"] == pdf["cluster"]).to_numpy())[0])
         mask = np.zeros(size, bool)
@@ -178,7 +178,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Global order 2 (rarest first, then code) over what is left gives each set the keys of which it must share one.
     4. Sets that share a key become candidates if what their samples share leaves the bound in reach. Candidates that
        hang together form a cluster, whose whole sets are joined with a prefix tree block by block; a block task reports
-       degrees and a spanning set of links. Clusters too large and thin for that have a prefix tree per candidate list.
+       degrees and a spanning set of links. Clusters too large and thin for that have a prefix tree per part of a candidate list.
        Keys shared by more than HOT sets never expand into pairs: their sets are clusters from the start. Blocks of a
        cluster hold sets of one size class (powers of den/num) and meet blocks of the same and the next class only.
 
@@ -322,8 +322,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dense = stash(dense, "dense")
     kinds.append(near_blocks.join(dense.where("dense"), "cluster", "left_semi"))
     sparse = edges.join(dense.where("NOT dense"), "cluster", "left_semi")
-    lists = sparse.select(F.col("a").alias("hub"), F.col("b").alias("member")).union(sparse.select("a", "a").distinct())
-    kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("bi", "bj", "blk")], F.lit(-1).cast("long").alias("hot")))
+    # A hub's list is split as blocks are: its candidates are of at most den/num times its size.
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("m") * F.col("n") * (den / num) / BLOCK_CODES)).cast("int")
+    hubs = sparse.groupBy("a").agg(F.count("*").alias("m")).join(classes.select(F.col("rep").alias("a"), "n"), "a").select("a", parts.alias("parts"))
+    hubs = stash(hubs, "hubs")
+    lists = sparse.join(hubs, "a").select(F.col("a").alias("hub"), F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("bi"))
+    lists = lists.union(hubs.select("a", "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))).withColumn("bi", F.col("bi").cast("long"))
+    kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), "bi", *[F.lit(0).cast("long").alias(c) for c in ("bj", "blk")], F.lit(-1).cast("long").alias("hot")))
     goes = reduce(DataFrame.unionByName, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
     wanted = stash(classes.select(F.col("rep").alias("member"), "first_id", "digest", "w").join(goes, "member"), "wanted")
     # Always by a shuffle: beside a broadcast, packing and unpacking would share a stage and hold two workers a task.

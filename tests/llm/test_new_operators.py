@@ -303,3 +303,34 @@ def test_keys_by_length_and_ordinary_identifiers(spark):
             assert ratio(w) > cut[-1] - 1e-3 and x.spans == f"markov:{x.text.index(w)}:{x.text.index(w) + len(w)}"
         elif not x.spans and x.k in ("alnum", "hex") and any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
             assert ratio(w) < cut[-1] + 1e-3
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_a_hub_of_many_near_copies(spark, monkeypatch, block):
+    """Copies near a hub but not near each other: with small blocks the hub's list is split over several tasks."""
+    from rowloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    hub = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(hub))]
+    for k in range(25):
+        w = list(hub)
+        for j in range(4):
+            w[10 + (k * 11 + j * 71) % 280] = f"x{k}_{j}"
+        rows.append((k + 1, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(298)} for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a != b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    assert sum(a == 0 for a, _ in near) == 25 and len(near) < 80
+    linker = ngram_join._linker
+
+    def seen(num, den):
+        def verify(pdf):
+            out = linker(num, den)(pdf)
+            assert len(pdf) <= 2 * block + 2 or pdf["kind"].iloc[0] != "list"
+            return out
+
+        return verify
+
+    monkeypatch.setattr(ngram_join, "_linker", seen)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(k, 0, sum(a == k for a, _ in near)) for k in sets}
