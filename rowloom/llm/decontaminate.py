@@ -16,8 +16,9 @@ from .common import WordCodes, gram_codes, slices
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits in 8 blocks: two that differ in at most 23 bits differ in at most 2 bits of some block.
 RADIUS, BLOCKS, NEAR = 23, 8, 2
-#: Benchmark text held by a task at a time; a larger benchmark takes several passes.
-PASS_BYTES = 16 << 20
+#: Bytes of a benchmark's index that a task holds at a time, about; a larger benchmark takes several passes. An item takes
+#: 4 bytes in each of 8 x 37 lists, and its shingles' tables some 50 bytes a character.
+PASS_BYTES, ITEM_BYTES, CHAR_BYTES = 128 << 20, 1200, 50
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BITS = np.arange(64, dtype=np.uint64)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -137,7 +138,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
     A window of as many words as an item (or the whole document, if shorter) is compared when it shares a shingle
     with an item of that length: its SimHash goes through the multi-index search, and what is within RADIUS bits is
     verified by exact weighted Jaccard (shingle counts, five words, SIMILARITY or more). Items with fewer than five
-    words are one shingle. The benchmark is a stated query set: it is read in passes of at most PASS_BYTES of text (or
+    words are one shingle. The benchmark is a stated query set: it is read in passes of about PASS_BYTES of index (or
     one item); the driver holds one pass, builds its index once, and each pass maps over the documents without a shuffle.
 
     Defined cases: null or empty texts have no leaks and null or empty items match nothing; null item ids are left
@@ -171,7 +172,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
     items, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         items.append((r[0], r[1]))
-        size += 4 * len(r[1] or "")
+        size += ITEM_BYTES + CHAR_BYTES * len(r[1] or "")
         if size > PASS_BYTES:
             df, items, size = one_pass(df, items), [], 0
     return one_pass(df, items) if items else df
