@@ -334,3 +334,28 @@ def test_a_hub_of_many_near_copies(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "_linker", seen)
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(k, 0, sum(a == k for a, _ in near)) for k in sets}
+
+
+@pytest.mark.parametrize("local", [500_000, 40])
+def test_components_of_contracted_links(spark, monkeypatch, local):
+    """A long way, stars, random links, repeated and self links; in one task, and in many followed by rounds."""
+    from rowloom.llm import components
+
+    monkeypatch.setattr(components, "LOCAL", local)
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(1000, 1090)] + [(5000, 5000 + i) for i in range(1, 40)] + [(r.randrange(-50, 150), r.randrange(-50, 150)) for _ in range(90)] + [(7, 7), (None, 3), (1003, 1002), (1003, 1002)]
+    r.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = [tuple(x) for x in components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, find(x)) for x in root}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
