@@ -207,6 +207,6 @@ def python_flat_map(spark, d):
 def one_gzip_file(spark, d):
     """An export as one gzip file whose parts were written in parallel; rows in order."""
     rows = table(spark, d, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit('\t"q"')).alias("p"))
-    path = export_csv(rows, {"filename": "orders"}, scratch(spark, "exports"), ["o_orderkey"], single_file=True)
+    path = export_csv(rows, {"filename": "orders"}, scratch(spark, "exports"), ["o_orderkey"], joined=True)
     back = read_csv(spark, path, sep="\t")
     return back.withColumn("place", (F.monotonically_increasing_id() + 1).cast("long"))

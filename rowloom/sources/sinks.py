@@ -12,26 +12,27 @@ from pyspark.sql import functions as F
 from ..operators.unique import export_projection, unique_on
 
 
-def export_csv(df: DataFrame, export: dict, base: str, order_by: list[str] | None = None, single_file: bool = False) -> str:
+def export_csv(df: DataFrame, export: dict, base: str, order_by: list[str] | None = None, single_file: bool = False, joined: bool = False) -> str:
     """Drop repeated keys (``unique_on``), project ``fields`` and write base/YYYYMMDD/<filename>.<time>.<id>.csv.gz/.
 
-    A folder of gzip parts, tab-separated, each with a header, written in parallel; with ``single_file`` one file of
-    that name, sorted by ``order_by`` if given (see join_parts). Quotes are doubled, nulls and empty texts are empty
+    A folder of gzip parts, tab-separated, each with a header, written in parallel; ``single_file`` gathers them into one
+    part by one task, for small results. With ``joined`` it is one file of that name, whose parts are written in
+    parallel, sorted by ``order_by`` if given (see join_parts). Quotes are doubled, nulls and empty texts are empty
     cells, lines end in CR LF, also those inside a cell.
     """
     if export.get("unique_on"):
         if not order_by:
             raise ValueError("first-wins needs order_by")
         df = unique_on(df, export["unique_on"], order_by)
-    if single_file and order_by:
+    if joined and order_by:
         df = df.orderBy(*order_by)
     out = export_projection(df, export["fields"]) if export.get("fields") else df
     out = out.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in out.columns])
     now = datetime.now()
     path = os.path.join(base, f"{now:%Y%m%d}", f"{export['filename']}.{now:%H%M%S}.{uuid.uuid4().hex[:8]}.csv.gz")
     form = {"sep": "\t", "compression": "gzip", "nullValue": "", "emptyValue": "", "quote": '"', "escape": '"', "lineSep": "\r\n"}
-    if not single_file:
-        out.write.options(**form, header=True).csv(path)
+    if not joined:
+        (out.coalesce(1) if single_file else out).write.options(**form, header=True).csv(path)
         return path
     parts, spark = path + ".parts", df.sparkSession
     spark.createDataFrame([tuple(out.columns)], [f"c{i}" for i in range(len(out.columns))]).coalesce(1).write.options(**form).csv(parts + "/header")

@@ -200,7 +200,7 @@ def test_dynamic(spark):
 def test_one_gzip_file(spark, tmp_path):
     rows = [(i, r'quote " and' + "\ttab", None if i % 3 else "x y") for i in range(1000)]
     df = spark.createDataFrame(rows, "id int, `a \"t\"` string, b string").repartition(7)
-    path = export_csv(df, {"filename": "whole"}, str(tmp_path), ["id"], single_file=True)
+    path = export_csv(df, {"filename": "whole"}, str(tmp_path), ["id"], joined=True)
     raw = open(path, "rb").read()
     got = list(csv.reader(io.StringIO(gzip.decompress(raw).decode(), newline=""), delimiter="\t"))
     assert got[0] == ["id", 'a "t"', "b"] and got[1:] == [[str(i), a, b or ""] for i, a, b in rows]
