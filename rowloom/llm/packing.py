@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ PART, PARTS = 1000, 20_000
 END = 0
 #: Fillings that the search tries where the incumbent is above the lower bound; some seconds on the driver.
 NODES = 1000
+#: Nodes of the search whose choices are held.
+KEPT = 16
 #: ((length, copies), ...) of one sequence; with the number of sequences like it.
 Filling = tuple[tuple[int, int], ...]
 Pattern = tuple[Filling, int]
@@ -203,9 +206,15 @@ def complete_bins(hist: dict[int, int], capacity: int, nodes: int = NODES) -> li
             most = min(count[x] // m for x, m in fill)
             yield from ((fill, n) for n in ((most, 1) if most > 1 else (1,)))
 
-    open_nodes = [choices()]
+    # (choices, how many were taken): the sums of reachable fillings that a node's choices hold are some 500 KB, so only the
+    # KEPT deepest nodes hold theirs; another makes them again when the search comes back to it, where ``count`` is as it was.
+    open_nodes: list[tuple[Iterator[Pattern] | None, int]] = [(choices(), 0)]
     while open_nodes and nodes and bins(best) > bound:
-        step = next(open_nodes[-1], None)
+        own, taken = open_nodes.pop()
+        if own is None:
+            own = itertools.islice(choices(), taken, None)
+        step = next(own, None)
+        open_nodes.append((own, taken + 1))
         if step is None:
             open_nodes.pop()
             if path:
@@ -224,10 +233,12 @@ def complete_bins(hist: dict[int, int], capacity: int, nodes: int = NODES) -> li
         for x, m in fill:
             count[x] -= n * m
         if any(count.values()):
-            open_nodes.append(choices())
+            open_nodes.append((choices(), 0))
         else:
             best = list(path)
-            open_nodes.append(iter(()))
+            open_nodes.append((iter(()), 0))
+        if len(open_nodes) > KEPT:
+            open_nodes[-KEPT - 1] = (None, open_nodes[-KEPT - 1][1])
     return best
 
 
