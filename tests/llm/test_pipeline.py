@@ -88,3 +88,20 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_secret_stage_searches_each_text_once_for_a_pattern(spark):
+    from rowloom.llm import secret_scan
+
+    r = random.Random(3)
+    parts = ["password", "Token", "api_key", "AKIA", "AKIA1", ":", "=", '"', " ", "  ", "a", "f0", "9", "deadbeef", "Zx", ".", "-", "_", "é", "x9Q", "\n", "secret"]
+    key = lambda: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    rows = [(i, "".join(r.choices(parts, k=r.randint(1, 25)))) for i in range(4000)] + [(-1, None), (-2, ""), (-3, 'secret:"token" : abcdefghij'), (-4, "token=short " + "plain words " * 20)]
+    rows += [(-5, " ".join(key() for _ in range(5000))), (-6, "x" * 19 + " " + "a1" * 4 + " AKIABANANAS")]  # a text of keys alone; one of near misses
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    kept = corpus_pipeline.secret_stage(spark, docs, "")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(x) == 1 for x in (secret_scan.HEX, secret_scan.ASSIGN, secret_scan.TOKEN))  # before: six times and more, partly for each word
+    spans = {x.doc_id: x.spans for x in secret_scan.scan(docs, secret_scan.train(docs)).collect()}  # no filter on them
+    got = {x.doc_id for x in kept.collect()}
+    assert got == {i for i, s in spans.items() if not s} and {-1, -2, -3, -4, -6} <= got and -5 not in got and 500 < len(got) < 3900
