@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import fresh, stash
+from rowloom.llm.common import fresh, relieve, stash
 from rowloom.llm.decontaminate import find_leaks
 from rowloom.llm.language import identify, learn
 from rowloom.llm.ngram_join import jaccard_join
@@ -33,6 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text of least hash stays, and of equal rows the first in the order of all columns); others are documents of their own.
     An empty table gives an empty one.
     """
+    relieve(spark)
     ids = jaccard_join(docs, k=5, num=4, den=5, slack=0.25).where("link_group IS NOT NULL").select("doc_id", "text_hash", "component_id", "link_group")
     ids = stash(ids, "groups")
     heads = ids.where("doc_id = component_id").groupBy("link_group", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
@@ -55,6 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts hold none."""
+    relieve(spark)
     leaks = fresh(docs.columns, "leaks")
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=leaks)
     return found.where(F.size(leaks) == 0).drop(leaks)
@@ -62,11 +64,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a secret go; null and empty texts hold none."""
+    relieve(spark)
     return docs.where(~holds_secret(F.col("text"), train(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of 2048-token sequences; null and empty texts are one id each."""
+    relieve(spark)
     return pack(docs)
 
 

@@ -59,6 +59,17 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Between steps that allocate much: let the executors collect their garbage, so that their heaps shrink again.
+
+    G1 leaves dead objects in the old generation until they fill 45 % of the heap, and meanwhile takes new memory for the
+    young one; beside a heap of its full size little is left for Python workers. Spark deals one short task to each core.
+    Tasks that meet in an executor share a collection; an executor that gets none only keeps its garbage.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table of a stash() that nothing reads any more."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)

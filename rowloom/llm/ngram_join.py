@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, binary_column, discard, fmix, gram_codes, map_arrow, stash
+from .common import WordCodes, binary_column, discard, fmix, gram_codes, map_arrow, relieve, stash
 from .components import components
 
 #: A key shared by more sets than this is joined in blocks instead of by pairs.
@@ -248,6 +248,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     active = stash(shared(once), "active")
     classes = stash(full.drop("part"), "classes")
     discard(full)
+    relieve(docs.sparkSession)
     keys = active.select("rep", "n", F.explode(F.slice("c", F.lit(1), (F.size("c") - least + 1).cast("int"))).alias("c")).select("rep", "n", F.col("c.df").alias("df"), F.col("c.g").alias("g"))
     fits = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["rep"] < y["rep"])
     pairs = (
@@ -331,6 +332,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds.append(lists.select("member", F.lit("list").alias("kind"), F.col("hub").alias("cluster"), "bi", *[F.lit(0).cast("long").alias(c) for c in ("bj", "blk")], F.lit(-1).cast("long").alias("hot")))
     goes = reduce(DataFrame.unionByName, kinds).groupBy("member").agg(F.collect_list(F.struct("kind", "cluster", "bi", "bj", "blk", "hot")).alias("goes"))
     wanted = stash(classes.select(F.col("rep").alias("member"), "first_id", "digest", "w").join(goes, "member"), "wanted")
+    relieve(docs.sparkSession)
     # Always by a shuffle: beside a broadcast, packing and unpacking would share a stage and hold two workers a task.
     texts = packed.join(wanted.hint("merge"), F.col("doc_id") == F.col("first_id"))
     shape = "array<struct<kind:string,cluster:long,bi:long,bj:long,blk:long,hot:long>>"

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stash
@@ -242,6 +242,13 @@ def complete_bins(hist: dict[int, int], capacity: int, nodes: int = NODES) -> li
     return best
 
 
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Rows of whole numbers as a table, by Arrow: a list of tuples would go through Python workers of another daemon,
+    which every executor then holds beside those of the tasks."""
+    values = np.array(rows, np.int64).reshape(len(rows), len(names))
+    return spark.createDataFrame(pa.table({x: pa.array(values[:, i]) for i, x in enumerate(names)}))
+
+
 def bins(patterns: list[Pattern]) -> int:
     return sum(times for _, times in patterns)
 
@@ -307,7 +314,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     rows = stash(token_pieces(docs, capacity, id_col, text_col, vocabulary, ranks, keep_ids), "pieces")
     hist = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     part = max(PART, sum(hist.values()) // PARTS)
-    split = spark.createDataFrame([(x, -(-n // part)) for x, n in hist.items() if n > part], "length long, parts int")
+    split = small_table(spark, [(x, -(-n // part)) for x, n in hist.items() if n > part], ["length", "parts"])
     bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")), F.lit(0)).cast("int")
     rows = rows.join(F.broadcast(split), "length", "left").withColumn("bucket", bucket).drop("parts")
     first, seen = [], dict.fromkeys(hist, 0)
@@ -338,7 +345,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
             keep = [c for c in b.schema.names if c != "at"]
             yield pa.record_batch([b.column(c) for c in keep] + [pa.array(seq), pa.array(off)], [*keep, "sequence_id", "offset"])
 
-    starts = spark.createDataFrame(first, "length long, bucket int, first long")  # of the split lengths: at most 2 x PARTS rows
+    starts = small_table(spark, first, ["length", "bucket", "first"]).withColumn("bucket", F.col("bucket").cast("int"))  # of the split lengths: at most 2 x PARTS rows
     w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = (
         rows.withColumn("k", F.row_number().over(w)).join(F.broadcast(starts), ["length", "bucket"], "left").withColumn("at", F.coalesce("first", F.lit(0)) + F.col("k") - 1)

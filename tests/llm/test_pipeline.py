@@ -105,3 +105,21 @@ def test_secret_stage_searches_each_text_once_for_a_pattern(spark):
     spans = {x.doc_id: x.spans for x in secret_scan.scan(docs, secret_scan.train(docs)).collect()}  # no filter on them
     got = {x.doc_id for x in kept.collect()}
     assert got == {i for i, s in spans.items() if not s} and {-1, -2, -3, -4, -6} <= got and -5 not in got and 500 < len(got) < 3900
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "decontamination", "secrets", "packing"])
+def test_stages_begin_on_collected_heaps(spark, tmp_path, monkeypatch, stage):
+    rows, item = make_rows()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: next(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    before = whole()
+
+    def no_python(*a, **b):  # a list goes through Python workers of a second daemon
+        raise AssertionError("parallelize")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no_python)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert whole() > before and out.count() > 0
