@@ -45,8 +45,9 @@ def lookup_table(spark: SparkSession, transform: dict, mapping: dict, kind: T.Da
 def join_lookups(df: DataFrame, inline: tuple[dict, ...], source_of: Callable[[dict], tuple[Column, T.DataType] | None]) -> tuple[DataFrame, tuple[dict, ...]]:
     """``df`` with a result and a hit for every inline enum that wants a join, and the fields that read them.
 
-    A table is measured before it is joined: up to MOST_SENT bytes it is broadcast and nothing of ``df`` moves. Its
-    keys are unique, so a key of many rows meets one row of the table and adaptive execution may split it.
+    A table is measured before it is joined: up to MOST_SENT bytes it is broadcast and nothing of ``df`` moves; a larger
+    one is never broadcast, whatever Spark's own estimate of it. Its keys are unique, so a key of many rows meets one
+    row of the table and adaptive execution may split it.
     """
     out = []
     for i, f in enumerate(inline):
@@ -68,7 +69,7 @@ def join_lookups(df: DataFrame, inline: tuple[dict, ...], source_of: Callable[[d
             size = table.agg(F.sum(F.length(F.col("key").cast("string")) + F.coalesce(F.length(F.col("value").cast("string")), F.lit(0)) + 16)).first()[0] or 0
             key = c if isinstance(kind, T.StringType) else c.cast("double")
             named = table.select(F.col("key").alias(f"__key{i}"), F.col("value").alias(f"__value{i}"), F.lit(True).alias(f"__hit{i}"))
-            df = df.join(F.broadcast(named) if size <= MOST_SENT else named, key == F.col(f"__key{i}"), "left")
+            df = df.join(F.broadcast(named) if size <= MOST_SENT else named.hint("merge"), key == F.col(f"__key{i}"), "left")
             hit, value = F.coalesce(F.col(f"__hit{i}"), F.lit(False)), F.col(f"__value{i}")
         if None in own:
             value, hit = F.when(c.isNull(), F.lit(own[None])).otherwise(value), hit | c.isNull()
