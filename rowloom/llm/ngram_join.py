@@ -9,16 +9,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordCodes, binary_column, discard, fmix, gram_codes, map_arrow, relieve, stash
 from .components import components
 
-#: A key shared by more sets than this is joined in blocks instead of by pairs.
+#: A key shared by more sets than this is looked at in whole sets, and what they still share so often is joined in blocks.
 HOT = 128
 #: Sets in one block of a cluster, and codes (8 bytes each): a block task holds two blocks.
 BLOCK, BLOCK_CODES = 512, 1 << 18
+#: Sets with a hot key (two numbers each) that are broadcast to find their texts; more of them meet the texts by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def shingle_set(text: bytes | None, k: int, codes: WordCodes) -> np.ndarray:
@@ -179,8 +181,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     4. Sets that share a key become candidates if what their samples share leaves the bound in reach. Candidates that
        hang together form a cluster, whose whole sets are joined with a prefix tree block by block; a block task reports
        degrees and a spanning set of links. Clusters too large and thin for that have a prefix tree per part of a candidate list.
-       Keys shared by more than HOT sets never expand into pairs: their sets are clusters from the start. Blocks of a
-       cluster hold sets of one size class (powers of den/num) and meet blocks of the same and the next class only.
+    5. Keys shared by more than HOT sets never expand into pairs: the whole sets that have one are ordered rarest first
+       among themselves, and only those that share a code of their prefixes there go on, as most sets with a common
+       passage have codes enough of their own. Codes still shared by more than HOT of them make clusters from the start. Blocks of
+       a cluster hold sets of one size class (powers of den/num) and meet blocks of the same and the next class only.
 
     Defined cases: null or empty text, or text without words: n_shingles 0, own component, no links. Null ids: the
     row comes back with component_id null and takes no part. Repeated rows are documents of their own (equal
@@ -217,6 +221,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = batch.select(["member", "w", "goes"])
         return pa.record_batch([*out.columns, pa.array(grams, pa.binary())], [*out.schema.names, "grams"]).filter(pa.array(keep, pa.bool_()))
 
+    def codes_of(batch):
+        n, digest, part, zipped = [], [], [], pa.types.is_binary(batch.schema.field("text").type)
+        for t in binary_column(batch, "text"):
+            s = shingle_set(zstandard.ZstdDecompressor().decompress(t) if zipped else t, k, codes)
+            n.append(len(s))
+            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            part.append(s.view(np.int64))
+        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.list_(pa.int64()))], ["rep", "n", "digest", "part"])
+
     def pack(batch):
         z = zstandard.ZstdCompressor(level=1)
         return pa.record_batch([batch.column(0), pa.array([z.compress(t) for t in binary_column(batch, "text")], pa.binary())], ["doc_id", "text"])
@@ -237,29 +250,56 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stash(sampled.select("doc_id", "text_hash", "n", "digest"), "sets")
     discard(sampled)
 
-    def shared(held: DataFrame) -> DataFrame:
-        """(rep, n, part) with only codes that two or more of the sets hold; sets that keep too few are gone."""
+    def shared(held: DataFrame, least: Column) -> DataFrame:
+        """(rep, n, c) with only codes that two or more of the sets hold, rarest first; sets that keep too few are gone."""
         each = held.select("rep", "n", F.explode("part").alias("g"))
         twice = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
         kept = each.join(twice, "g").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "g")).alias("c"))
         return kept.where(F.size("c") >= least).select("rep", "n", F.sort_array("c").alias("c"))
 
-    once = stash(shared(full.select("rep", "n", "part")).select("rep", "n", F.col("c.g").alias("part")), "shared")
-    active = stash(shared(once), "active")
+    once = stash(shared(full.select("rep", "n", "part"), least).select("rep", "n", F.col("c.g").alias("part")), "shared")
+    active = stash(shared(once, least), "active")
     classes = stash(full.drop("part"), "classes")
     discard(full)
     relieve(docs.sparkSession)
     keys = active.select("rep", "n", F.explode(F.slice("c", F.lit(1), (F.size("c") - least + 1).cast("int"))).alias("c")).select("rep", "n", F.col("c.df").alias("df"), F.col("c.g").alias("g"))
-    fits = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["rep"] < y["rep"])
-    pairs = (
-        keys.where(f"df <= {HOT}")
-        .groupBy("g")
-        .agg(F.collect_list(F.struct("rep", "n")).alias("m"))
-        .where("size(m) > 1")
-        .select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))).alias("p"))
-        .select("p.a", "p.b")
-        .distinct()
-    )
+    fits = lambda x, y: (F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num) & (x["rep"] < y["rep"]) & F.when(x["n"] <= y["n"], x["early"]).otherwise(y["early"])
+
+    def meet(keys: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets (rep, n, early) with a key g in common that is early in the smaller one."""
+        return (
+            keys.groupBy("g")
+            .agg(F.collect_list(F.struct("rep", "n", "early")).alias("m"))
+            .where("size(m) > 1")
+            .select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))).alias("p"))
+            .select("p.a", "p.b")
+        )
+
+    def whole_codes(hot: DataFrame) -> DataFrame:
+        """(rep, n, part) with all codes of each set of ``hot`` (rep)."""
+        want = classes.join(hot, "rep").select(F.col("first_id").alias("doc_id"), "rep")
+        if hot.count() <= MOST_SENT:
+            texts = base.where("length(text) > 0").join(F.broadcast(want), "doc_id").select("rep", "text")
+        else:
+            texts = packed.join(want.hint("merge"), "doc_id").select("rep", "text")
+        sets = map_arrow(texts, codes_of, "rep long, n long, digest binary, part array<long>")
+        # One row for each class: other texts of the id go, and rows that repeat its id and text.
+        return sets.where(F.col("rep") == F.xxhash64("digest")).groupBy("rep").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+
+    pairs, star = meet(keys.where(f"df <= {HOT}").withColumn("early", F.lit(True))), None
+    hot = stash(keys.where(f"df > {HOT}").select("rep").distinct(), "hot")
+    if not hot.isEmpty():
+        # Linked sets have t n codes in common at least, the smaller one 2 t n / (1 + t), so in any one order they share a code
+        # of the first n - ceil(t n) + 1 and of the smaller one's first n - ceil(2 t n / (1 + t)) + 1 ("early"). Codes that no
+        # other set has come first; shared() leaves them out, so the rest is that much shorter.
+        ceil = lambda x, y: F.floor((F.col("n") * x + (y - 1)) / F.lit(y)).cast("int")
+        held = shared(whole_codes(hot), ceil(num, den))
+        first = held.select("rep", "n", (F.size("c") - ceil(2 * num, num + den) + 1).alias("early"), F.slice("c.g", F.lit(1), F.size("c") - ceil(num, den) + 1).alias("c"))
+        first = stash(first.select("rep", "n", "early", F.posexplode("c").alias("at", "g")).select("rep", "n", "g", F.expr("at < early").alias("early")), "hot-keys")
+        met = first.groupBy("g").agg(F.count("*").alias("m"), F.min("rep").alias("a")).where("m > 1")
+        pairs = pairs.union(meet(first.join(met.where(f"m <= {HOT}").select("g"), "g")))
+        star = stash(first.join(met.where(f"m > {HOT}").select("g", "a"), "g").select("a", F.col("rep").alias("b")).distinct(), "hot-stars")
+    pairs = pairs.distinct()
     # What two samples share bounds the overlap: with the sample that ends first (of s of its n codes, up to code top)
     # all common codes up to there are known, and at most n - s can follow.
     size = F.least(F.col("n"), p_of(F.col("n")) - 1 + F.greatest(F.lit(1).cast("long"), F.floor(p_of(F.col("n")) * F.lit(slack)).cast("long")))
@@ -268,8 +308,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = F.size(F.array_intersect("aheld", "bheld")) + F.when(F.col("atop") <= F.col("btop"), F.col("arest")).otherwise(F.col("brest"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(known * (num + den) >= (F.col("an") + F.col("bn")) * num).select("a", "b")
 
-    hot = keys.where(f"df > {HOT}").select("g", "rep")
-    star = stash(hot.join(hot.groupBy("g").agg(F.min("rep").alias("a")), "g").select("a", F.col("rep").alias("b")).distinct(), "hot")
     kinds = []
 
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num) + 1e-9)).cast("int")
@@ -302,7 +340,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return large.union(whole_of).withColumn("kind", F.lit(kind)), sent
 
     pairs, member = pairs.select("*", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")), None
-    if not star.isEmpty():
+    if star is not None and not star.isEmpty():
         member = stash(components(star), "hot-clusters")
         pairs = (
             pairs.select("a", "b")

@@ -336,6 +336,46 @@ def test_a_hub_of_many_near_copies(spark, monkeypatch, block):
     assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(k, 0, sum(a == k for a, _ in near)) for k in sets}
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_common_passages_alone_bring_no_sets_together(spark, monkeypatch, sent):
+    """Texts with a common passage and two fifths of their own are linked with nothing, so no task compares them."""
+    from rowloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "MOST_SENT", sent)
+    r = random.Random(5)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common = own(70)
+    rows = [(i, [*common[: 60 + i % 11], *own(46)]) for i in range(150)]
+    rows += [(200 + i, [*rows[i][1][:-2], "other", "end"]) for i in range(6)]  # near copies
+    rows += [(300, list(reversed(rows[7][1]))), (7, own(90)), rows[8], rows[8], (None, rows[9][1]), (310, [])]  # a repeated id, repeated rows
+    rows += [(400 + i, [*common, *own(3 + i % 14)]) for i in range(20)]  # mostly the passage: some are linked
+    rows += [(500 + i, [*(w if (j + i) % 40 else f"v{i}" for j, w in enumerate(common)), *own(i % 5)]) for i in range(20)]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, w in rows]
+    least, degree = [i for i, _ in rows], [0] * len(rows)
+    near = [(a, b) for a in range(len(rows)) for b in range(len(rows)) if a != b and None not in (rows[a][0], rows[b][0]) and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, _ in near:
+        degree[a] += 1
+    for _ in rows:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    linker = ngram_join._linker
+
+    def seen(num, den):
+        def verify(pdf):
+            assert pdf["member"].nunique() <= 60  # before: more than 150, all in one cluster
+            return linker(num, den)(pdf)
+
+        return verify
+
+    monkeypatch.setattr(ngram_join, "_linker", seen)
+    got = ngram_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), k=5, num=4, den=5, slack=0.25).collect()
+    tell = lambda x: [-1 if v is None else v for v in x]
+    assert sorted(tell((x.doc_id, x.n_shingles, x.component_id, x.n_links)) for x in got) == sorted(tell((i, len(s), c, d)) for (i, _), s, c, d in zip(rows, sets, least, degree, strict=True))
+    assert sum(d > 0 for d in degree) > 20
+
+
 @pytest.mark.parametrize("local", [500_000, 40])
 def test_components_of_contracted_links(spark, monkeypatch, local):
     """A long way, stars, random links, repeated and self links; in one task, and in many followed by rounds."""
